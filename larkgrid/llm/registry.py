@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkgrid.llm import url_filters
+from larkgrid.llm import secret_scans, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op5_secret_scans": secret_scans.op5_secret_scans,
 }
 
 ORACLES = {
