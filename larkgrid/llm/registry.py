@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from larkgrid.llm import bpe, packing, secret_scans, url_filters
+from larkgrid.llm import bpe, minhash, packing, secret_scans, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op5_secret_scans": secret_scans.op5_secret_scans,
+    "op7_minhash": minhash.op7_minhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_packing": packing.op10_packing,
 }
