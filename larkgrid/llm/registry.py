@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from larkgrid.llm import bpe, minhash, packing, secret_scans, url_filters
+from larkgrid.llm import bpe, minhash, packing, secret_scans, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op7_minhash": minhash.op7_minhash,
     "op9_bpe": bpe.op9_bpe,
