@@ -80,6 +80,7 @@ def samples(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> Iterator
     """Of concatenated texts that end at `ends`: the number of the text, the place in it and both hashes of each sample."""
     starts = np.concatenate([[0], ends[:-1]])
     w = length - k + 1
+    known = np.zeros(0, dtype=np.int64)
     for lo in range(0, max(0, len(data) - length + 1), CHUNK):
         hi = min(lo + CHUNK, len(data) - length + 1)  # strings that start from lo to hi
         a, b = max(0, lo - length), min(len(data), hi + 2 * length)
@@ -95,7 +96,9 @@ def samples(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> Iterator
         if not len(least):
             continue
         at = np.unique((least & ((np.uint64(1) << POSITION_BITS) - np.uint64(1))).astype(np.int64))
+        at = at[~np.isin(at + lo, known)]  # strings on both sides of a chunk's end may share a sample
         first, where = head[at], at + lo
+        known = np.concatenate([known, where])[-2 * length :]
         text = np.searchsorted(ends, where, side="right")
         left, right = np.minimum(length - k, where - starts[text]), np.minimum(length, ends[text] - where)
         i, j = where - left - a, where + right - a
