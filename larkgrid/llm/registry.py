@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from larkgrid.llm import bpe, minhash, packing, secret_scans, suffix_dedup, url_filters
+from larkgrid.llm import ann, bpe, exact_search, minhash, packing, secret_scans, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_secret_scans": secret_scans.op5_secret_scans,
+    "op6_ann": ann.op6_ann,
     "op7_minhash": minhash.op7_minhash,
+    "op8_exact_top_k": exact_search.op8_exact_top_k,
     "op9_bpe": bpe.op9_bpe,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
     "op1_url_filters": url_filters.OP1_SQL,
+    "op8_exact_top_k": exact_search.OP8_SQL,
 }
