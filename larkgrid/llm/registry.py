@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from larkgrid.llm import ann, bpe, exact_search, minhash, packing, secret_scans, suffix_dedup, url_filters
+from larkgrid.llm import ann, bpe, exact_search, language_id, minhash, packing, secret_scans, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": language_id.op3_language_id,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_secret_scans": secret_scans.op5_secret_scans,
     "op6_ann": ann.op6_ann,
