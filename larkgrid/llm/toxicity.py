@@ -159,7 +159,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> np.nd
     return q
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.ndarray, ridge: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.ndarray, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse zero-one features (rows, cols) by accelerated gradient steps."""
     w, base = np.zeros(d), float(np.log(np.clip(target.mean(), 1e-4, 1) / np.clip(1 - target.mean(), 1e-4, 1)))
     per_col = np.bincount(cols, minlength=d)
@@ -167,7 +167,7 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.nd
     step = 1 / (0.25 * per_row[rows].astype(float) if len(rows) else np.ones(1))
     size = 1 / (np.bincount(cols, weights=1 / step, minlength=d) + ridge)  # a bound for each feature
     last = w.copy()
-    for r in range(rounds):
+    for r in range(int(min(1500, max(300, 2e8 / max(1, len(rows)))))):
         look = w + (r / (r + 3)) * (w - last)
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=look[cols], minlength=n) + base, -30, 30)))
         slope = np.bincount(cols, weights=(p - target)[rows], minlength=d) + ridge * look
@@ -196,7 +196,7 @@ def learn(rows: DataFrame, text_col: str, label_col: str) -> Classifier:
     # how far the odds are from even, in standard errors
     odds = F.log((F.col("n1") + 0.5) / (n1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (n0 - F.col("n0") + 0.5))
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    best = words.select("word", (odds / error).alias("z")).orderBy(F.abs("z").desc(), "word").limit(FEATURES).collect()
+    best = words.select("word", (odds / error).alias("z")).where(F.abs("z") >= 2).orderBy(F.abs("z").desc(), "word").limit(FEATURES).collect()
     features = {r["word"]: i for i, r in enumerate(best)}
     voters = [i for i, r in enumerate(best) if abs(r["z"]) > 3][:VOTERS]
 
