@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from larkgrid.llm.common import table
 
 #: Words that a task remembers, and bytes of text that it splits at once.
-KEEP_WORDS, CHUNK_BYTES = 300_000, 1 << 20
+KEEP_WORDS, CHUNK_BYTES = 600_000, 1 << 20
 #: Fewer words than this of one size have single trees.
 SIDE_BY_SIDE = 8
 NONE = np.int64(1) << 62
@@ -140,75 +140,81 @@ class Vocabulary:
                 put(p, big if r is None else r * size + p)
         return [x for x in ids if x >= 0]
 
-    def merge_many(self, words: list[bytes], size: int) -> list[np.ndarray]:
-        """Words of at most `size` bytes (a power of two over 1), with trees side by side."""
-        n = np.array([len(w) for w in words])
+    def merge_many(self, words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of at most `size` bytes (a power of two over 1), with trees side by side: all ids, and how many of each."""
+        n = np.array([len(w) for w in words], dtype=np.int32)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         rows = np.repeat(np.arange(len(words)), n)
         cols = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
-        ids = np.full((len(words), size + 1), -1, dtype=np.int64)
-        ids[rows, cols] = np.where(cols == n[rows] - 1, self.last[data], self.first[data])
-        shift = size.bit_length() - 1
-        leaf = np.arange(size, dtype=np.int64)
-        pair = (ids[:, :-1] >= 0) & (ids[:, 1:] >= 0)
-        rank = np.full((len(words), size), NONE)
-        rank[pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair])
-        tree = np.full((len(words), 2 * size), NONE)
-        tree[:, size:] = np.where(rank < NONE, rank << shift | leaf, NONE)
+        wide, double, shift = size + 1, 2 * size, size.bit_length() - 1
+        ids = np.full(len(words) * wide, -1, dtype=np.int64)
+        ids[rows * wide + cols] = np.where(cols == n[rows] - 1, self.last[data], self.first[data])
+        tree = np.full((len(words), double), NONE)
+        inner = cols < n[rows] - 1
+        rows, cols = rows[inner], cols[inner]
+        at = rows * wide + cols
+        rank = self.rank(ids[at], ids[at + 1])
+        tree[rows, size + cols] = np.where(rank < NONE, rank << shift | cols, NONE)
         for k in range(shift - 1, -1, -1):
             tree[:, 1 << k : 2 << k] = np.minimum(tree[:, 2 << k : 4 << k : 2], tree[:, (2 << k) + 1 : 4 << k : 2])
-        end = n[:, None]
-        after = np.minimum(np.arange(1, size + 2)[None, :], end).repeat(1, axis=0)
-        before = np.arange(-1, size)[None, :].repeat(len(words), axis=0)
-        out: list = [None] * len(words)
+        tree = tree.ravel()
+        after = np.tile(np.arange(1, size + 2, dtype=np.int32), len(words))
+        before = np.tile(np.arange(-1, size, dtype=np.int32), len(words))
         live = np.arange(len(words))
-        while len(live):
-            going = tree[:, 1] < NONE
+        while True:
+            root = tree[live * double + 1]
+            going = root < NONE
             if not going.all():
-                for w, row in zip(live[~going].tolist(), ids[~going], strict=True):
-                    out[w] = row[row >= 0]
-                live, ids, tree, after, before, n = live[going], ids[going], tree[going], after[going], before[going], n[going]
-                continue
-            at = np.arange(len(live))
-            root = tree[:, 1]
+                live, root = live[going], root[going]
+            if not len(live):
+                break
+            base, trunk, end = live * wide, live * double, n[live]
             i, r = root & (size - 1), root >> shift
-            j = after[at, i]
-            k = after[at, j]
+            j = after[base + i]
+            k = after[base + j]
             made = self.made[r]
-            ids[at, i], ids[at, j], after[at, i] = made, -1, k
-            inner = k < n
-            before[at[inner], k[inner]] = i[inner]
-            tree[at, size + j] = NONE
-            new = np.full(len(at), NONE)
-            q = self.rank(made[inner], ids[at[inner], k[inner]])
-            new[inner] = np.where(q < NONE, q << shift | i[inner], NONE)
-            tree[at, size + i] = new
-            p = before[at, i]
-            has = p >= 0
-            q = self.rank(ids[at[has], p[has]], made[has])
-            tree[at[has], size + p[has]] = np.where(q < NONE, q << shift | p[has], NONE)
-            row = np.concatenate([at, at, at[has]])
-            node = np.concatenate([j, i, p[has]]) + size
+            ids[base + i], ids[base + j], after[base + i] = made, -1, k
+            p = before[base + i]
+            right, left = np.flatnonzero(k < end), np.flatnonzero(p >= 0)
+            before[base[right] + k[right]] = i[right]
+            # the pairs with the symbols after and before, ranked together
+            rank = self.rank(np.concatenate([made[right], ids[base[left] + p[left]]]), np.concatenate([ids[base[right] + k[right]], made[left]]))
+            place = np.concatenate([i[right], p[left]])
+            value = np.where(rank < NONE, rank << shift | place, NONE)
+            own = trunk + size
+            tree[own + j] = NONE
+            tree[own + i] = NONE
+            tree[own[right] + i[right]] = value[: len(right)]
+            tree[own[left] + p[left]] = value[len(right) :]
+            trunk, node = np.concatenate([trunk, trunk, trunk[left]]), np.concatenate([j, i, p[left]]) + size
             for _ in range(shift):
                 node = node >> 1
-                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
-        return out
+                child = trunk + 2 * node
+                tree[trunk + node] = np.minimum(tree[child], tree[child + 1])
+        kept = ids >= 0
+        return ids[kept], kept.reshape(-1, wide).sum(axis=1)
 
-    def merge(self, words: Iterable[str]) -> dict[str, np.ndarray]:
-        """The ids of each word."""
+    def merge(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers."""
         out, classes = {}, {}
         for w in words:
             if w in self.special:
-                out[w] = np.array([self.special[w]])
+                out[w] = self.special[w].to_bytes(4, "little")
             else:
                 data = w.encode("utf-8", "replace")
-                classes.setdefault(max(2, 1 << (len(data) - 1).bit_length()), []).append((w, data))
-        for size, group in classes.items():
+                group = classes.setdefault((len(data) - 1).bit_length(), ([], []))
+                group[0].append(w)
+                group[1].append(data)
+        for bits, (group, datas) in classes.items():
+            size = max(2, 1 << bits)
             if len(group) < SIDE_BY_SIDE or size > 4096:
-                out.update((w, np.array(self.merge_one(data))) for w, data in group)
-            else:
-                for k in range(0, len(group), step := max(64, (1 << 19) // size)):
-                    out.update(zip((w for w, _ in group[k : k + step]), self.merge_many([d for _, d in group[k : k + step]], size), strict=True))
+                out.update((w, np.array(self.merge_one(data)).astype("<u4").tobytes()) for w, data in zip(group, datas, strict=True))
+                continue
+            step = max(64, (1 << 19) // size)
+            for k in range(0, len(group), step):
+                ids, n = self.merge_many(datas[k : k + step], size)
+                buf, ends = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(n)).tolist()]
+                out.update(zip(group[k : k + step], [buf[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -241,10 +247,10 @@ class Encoder:
             self.ids.clear()
             self.texts.clear()
         new = set().union(*parts).difference(self.ids)
-        for w, ids in self.vocabulary.merge(new).items():
-            self.ids[w] = ids.astype("<u4").tobytes()
-            if self.decode:
-                self.texts[w] = self.vocabulary.decode(ids.tolist()).encode()
+        merged = self.vocabulary.merge(new)
+        self.ids.update(merged)
+        if self.decode:
+            self.texts.update((w, self.vocabulary.decode(np.frombuffer(ids, dtype="<u4").tolist()).encode()) for w, ids in merged.items())
         for words in parts:
             yield b"".join(map(self.ids.__getitem__, words)), b" ".join(map(self.texts.__getitem__, words)) if self.decode else b""
 
