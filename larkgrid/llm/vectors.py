@@ -105,10 +105,16 @@ def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def merge_top(found: DataFrame, k: int, score: Column) -> DataFrame:
-    """The k best of each query over its lists, ranked. An id counts once. score: from the double `s`."""
+def merge_top(found: DataFrame, k: int, score: Column, copies: int = 1) -> DataFrame:
+    """The k best of each query over its lists, ranked. score: from the double `s`.
+
+    copies: how often one vector may turn up for a query; of equal pairs of score and id one counts then.
+    """
     pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("v")))
-    lists = found.select("query_id", pairs.alias("best"))
-    best = lists.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    best = found.select("query_id", pairs.alias("best")).groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+    best = best.select("query_id", F.slice("best", 1, k * copies).alias("best"))
+    if copies > 1:  # equal ones are neighbours
+        differs = lambda x, i: (i == 0) | (x != F.get("best", i - 1))
+        best = best.select("query_id", F.slice(F.filter("best", differs), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.v").alias("vec_id"), (-F.col("b.s")).alias("s")).select("query_id", "rank", "vec_id", score.alias("score"))
