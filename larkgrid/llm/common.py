@@ -45,6 +45,11 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by number, which no column of ours can clash with; `toDF` with the old names undoes it."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def spill_dir() -> str:
     """A folder for one task's own spill files: one of Spark's local scratch folders, as its shuffle uses.
 

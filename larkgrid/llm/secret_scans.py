@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import cut, table
+from larkgrid.llm.common import cut, numbered, table
 
 #: The pattern of assignments and the least length of its value.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -127,22 +127,23 @@ def link_parts(parts: DataFrame, reach: int) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every reported span of its text replaced by a mark; a null text stays null."""
-    scanned = scan_secrets(docs, text_col)
+    text = f"_c{docs.columns.index(text_col)}"
+    plain = numbered(docs)
+    scanned = scan_secrets(plain, text)
     spans = F.array_sort(F.concat("base", "linked"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        gap = F.substr(F.col(text_col), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         out = F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     def finish(acc: Column) -> Column:
-        rest = F.substr(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(1 << 30))
-        return F.concat(F.array_join(acc["out"], ""), rest)
+        return F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.lit(1 << 30)))
 
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(F.col(text_col))
-    return scanned.withColumn(text_col, clean).select(*docs.columns)
+    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(F.col(text))
+    return scanned.withColumn(text, clean).select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

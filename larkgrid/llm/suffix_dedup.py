@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from larkgrid.llm.common import cut, discard, spill_dir, table
+from larkgrid.llm.common import cut, discard, numbered, spill_dir, table
 
 LENGTH, SAMPLE = 400, 200
 #: Window starts worked on at once, bytes of a sorted run, and suffixes whose left bytes stay in memory.
@@ -368,10 +368,10 @@ def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated strings cut out of their texts; letters that a cut splits go as well. n_chars follows, if there is one."""
     _, spans = repeated_strings(docs, length, k, id_col, text_col)
-    rows = docs.withColumn("id", F.col(id_col)).withColumn("mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    plain = numbered(docs)
+    at, names = docs.columns.index(text_col), plain.columns
+    rows = plain.select("*", F.col(f"_c{docs.columns.index(id_col)}").alias("id"), F.xxhash64(F.coalesce(F.col(f"_c{at}"), F.lit(""))).alias("mark"))
     joined = with_spans(rows, spans).drop("id", "mark")
-    names = docs.columns
-    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,8 +379,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE, id_co
             cols = [pa.array(texts, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = joined.mapInArrow(run, plain.schema)
+    if "n_chars" in docs.columns:
+        n = docs.columns.index("n_chars")
+        out = out.withColumn(f"_c{n}", F.length(f"_c{at}").cast(docs.schema[n].dataType))
+    return out.toDF(*docs.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
