@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkgrid.llm import minhash, packing, secret_scans, suffix_dedup, toxicity
-from larkgrid.llm.common import cut, table
+from larkgrid.llm.common import cut, numbered, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold. The classifier learns from labelled rows of documents."""
     rows = toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "text")
     model = toxicity.learn(rows, "text", "_toxic")
-    scored = toxicity.score_texts(docs, model)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    plain = numbered(docs)
+    scored = toxicity.score_texts(plain, model, f"_c{docs.columns.index('text')}")
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = minhash.near_duplicates(docs)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    plain = numbered(docs)
+    return plain.join(gone.hint("shuffle_hash"), F.col(f"_c{docs.columns.index('doc_id')}") == F.col("_gone"), "left_anti").toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
