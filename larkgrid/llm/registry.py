@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkgrid.llm import ann, bpe, exact_search, language_id, minhash, packing, secret_scans, suffix_dedup, toxicity, url_filters
+from larkgrid.llm import ann, bpe, exact_search, language_id, minhash, oracles, packing, secret_scans, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filters": url_filters.OP1_SQL,
+    "op4_suffix_dedup": oracles.OP4_SQL,
+    "op7_minhash": oracles.OP7_SQL,
     "op8_exact_top_k": exact_search.OP8_SQL,
 }
