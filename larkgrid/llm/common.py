@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +66,15 @@ def spill_dir() -> str:
 def split_mod4(doc_id="doc_id"):
     """crc32 of doc_id as text, mod 4; a null doc_id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about `size` bytes of text, so that Python objects are made for few rows at a time."""
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(b):
+            done = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, done + size, side="right")))
+            yield b.slice(start, end - start)
+            start = end

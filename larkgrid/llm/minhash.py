@@ -9,8 +9,9 @@ Texts with equal sets are one class from the start, so copies, however many, are
 follows. In each bucket every class makes one candidate edge, to the bucket's least class (a star), so
 edges are bounded by bucket entries. Candidates are confirmed on the full sets. A bucket of different
 classes whose members aren't all in one component after that could still hide a link between two of
-the others; for these buckets alone, pairs across components are confirmed too. So every pair that
-shares a bucket is either confirmed, refused, or known to be in one component.
+the others; for these buckets alone, pairs across components are compared too: members whose shingles
+occur nowhere else too often drop out, small buckets are joined, large ones compared in blocks without
+making pairs. So every pair that shares a bucket is either confirmed, refused, or in one component.
 
 With 40 bands of 5 bins a pair of similarity 0.8 shares no bucket with a chance of 1e-7.
 
@@ -29,14 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import cut, discard, table
+from larkgrid.llm.common import cut, discard, table, text_chunks
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
+#: Members of a bucket whose pairs across components are joined; larger ones are compared in blocks of BLOCK.
+FEW, BLOCK, BLOCK_TOKENS = 48, 512, 1 << 19
 #: Words that a task remembers the hash of.
-KEEP_WORDS = 500_000
-#: Rows that an Arrow batch of these operators works on at once, by bytes of text.
-CHUNK_BYTES = 1 << 20
+KEEP_WORDS = 150_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
 EDGES = np.array([(i << 64) // BINS for i in range(BINS)], dtype=np.uint64)
 #: For each bin, the order in which it looks for a filled one.
@@ -95,25 +96,12 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return scramble((scramble(signature) * BAND_MIX).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def in_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of batches whose texts have about CHUNK_BYTES."""
-    for b in batches:
-        texts = b.column(column).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= CHUNK_BYTES:
-                yield b.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield b.slice(start), texts[start:]
-
-
 def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, n (size of the set), fp (its digest; null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in in_chunks(batches, 1):
+        for b in text_chunks(batches, 1):
+            texts = b.column(1).to_pylist()
             n, fp, bands = [], [], []
             for s in shingle_sets(texts, k):
                 n.append(len(s))
@@ -130,7 +118,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wid")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in in_chunks(batches, 0):
+        for b in text_chunks(batches, 0):
+            texts = b.column(0).to_pylist()
             keep, sets = [], []
             for i, (s, fp) in enumerate(zip(shingle_sets(texts, k), b.column(1).to_pylist(), strict=True)):
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == fp:
@@ -172,6 +161,85 @@ def components(edges: DataFrame) -> DataFrame:
         mark = got
 
 
+def several_roots(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, n, root, ...) of buckets with more than one root, with their rows (c) and shingles (tokens).
+
+    Of buckets with the same members one is kept: the others have no other pairs.
+    """
+    h = F.xxhash64("node")
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("tokens"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y"))
+    keys = keys.where("lo <> hi").groupBy("c", "x", "y").agg(F.min("key").alias("key"), F.first("tokens").alias("tokens")).select("key", "c", "tokens")
+    return rows.drop("c", "tokens").join(cut(keys, "keys"), "key")
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across roots within large buckets, all pairs compared in blocks.
+
+    rows: key, node, root, n, c, tokens. A bucket's members are dealt to blocks of about BLOCK members
+    and BLOCK_TOKENS shingles, each pair of blocks is a piece of work of its own, and its sets are compared by one product of matrices. Of
+    the links that are found, only those that join two roots not joined before are returned.
+    """
+    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("mine", mine).withColumn("theirs", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.select(F.xxhash64("key", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("work"), "node", "root")
+    held = rows.join(sets, "node").select("work", "node", "root", "set").repartition("work").sortWithinPartitions("work", "node")
+
+    def links(nodes: list[int], roots: list[int], own: list[np.ndarray]) -> list[tuple[int, int]]:
+        n = np.array([len(x) for x in own])
+        at, tokens = np.repeat(np.arange(len(own)), n), np.concatenate(own)
+        kinds, inverse, times = np.unique(tokens, return_inverse=True, return_counts=True)
+        new = np.cumsum(times > 1) - 1
+        both = np.zeros((len(own), len(own)), dtype=np.float32)
+        keep = times[inverse] > 1
+        at, col = at[keep], new[inverse[keep]]
+        order = np.argsort(col, kind="stable")
+        at, col = at[order], col[order]
+        for s in range(0, int((times > 1).sum()), 2048):  # columns at a time
+            i, j = np.searchsorted(col, [s, s + 2048])
+            m = np.zeros((len(own), 2048), dtype=np.float32)
+            m[at[i:j], col[i:j] - s] = 1
+            both += m @ m.T
+        r = np.array(roots)
+        good = (100 * both >= percent * (n[:, None] + n - both)) & (r[:, None] < r)
+        parent = {x: x for x in roots}
+        out = []
+        for i in np.flatnonzero(good.any(axis=1)).tolist():
+            for j in np.flatnonzero(good[i]).tolist():
+                x, y = roots[i], roots[j]
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((nodes[i], nodes[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            got = links(*held) if len(set(held[1])) > 1 else []
+            if got:
+                a, b = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for b in batches:
+            sets_at = b.column(3)
+            for i, (work, node, root) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+                if work != now:
+                    yield from done()
+                    now, held = work, ([], [], [])
+                if not held[0] or held[0][-1] != node:
+                    held[0].append(node)
+                    held[1].append(root)
+                    held[2].append(sets_at[i].values.to_numpy(zero_copy_only=False).copy())
+        yield from done()
+
+    return held.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_shingles, component_id (the least id that links reach)."""
     rows = cut(features(docs, shingle, id_col, text_col), "features")
@@ -193,20 +261,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     labelled = members.where("c > 2").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     labelled = cut(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mixed = cut(labelled.join(mixed, "key", "left_semi"), "mixed")
-    other = mixed.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root")])
-    across = mixed.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
+    mixed = cut(several_roots(labelled), "mixed")
+    # a shingle that no other of these sets has can't be in an intersection: what is left bounds the similarity
+    own = mixed.select("node", "n").distinct()
+    token = own.join(sets, "node").select("node", F.explode("set").alias("token"))
+    single = token.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("single"))
+    bound = own.join(single, "node", "left").select("node", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared")).where(100 * F.col("shared") >= percent * F.col("n"))
+    mixed_again = cut(several_roots(mixed.join(bound, "node")), "mixed")
+    few = mixed_again.where(F.col("c") <= FEW)
+    other = few.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "shared")])
+    most = F.least("shared", "shared2")
+    across = few.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
     across = across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(confirm(across.join(tested, ["a", "b"], "left_anti"), sets, percent), "links")
+    more = cut(confirm(across.join(tested, ["a", "b"], "left_anti"), sets, percent).union(block_links(mixed_again.where(F.col("c") > FEW), sets, percent)), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
 
     placed = classes.select("node", "fp", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     placed = cut(placed.join(least, "root").select("fp", "component_id"), "placed")
-    discard(buckets, members, star, sets, labelled, mixed, links, more)
+    discard(buckets, members, star, sets, labelled, mixed, mixed_again, links, more)
     out = rows.select("id", "n", "fp").join(placed, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
