@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import cut, split_mod4, table
+from larkgrid.llm.common import cut, split_mod4, table, text_chunks
 
 #: Training rows at most, all languages together.
 TRAIN = 6000
@@ -37,7 +37,6 @@ TRAIN = 6000
 BUCKETS, CUT, SWITCH = 1 << 16, 6.0, 14.0
 #: A language uses a script if so much of its letters in training were in it.
 SCRIPT_SHARE = 0.01
-CHUNK_BYTES = 1 << 20
 
 #: First code points of script ranges; each lasts to the next. 0 is Latin and what is left over.
 SCRIPTS = [(0x0000, 0), (0x0370, 1), (0x0400, 2), (0x0530, 3), (0x0590, 4), (0x0600, 5), (0x0900, 6), (0x0980, 7), (0x0E00, 8), (0x10A0, 9), (0x1100, 10), (0x1200, 11), (0x1E00, 0), (0x1F00, 1), (0x2000, 0), (0x3040, 12), (0x3100, 13), (0x3130, 10), (0x3200, 13), (0xAC00, 10), (0xF900, 13), (0xFB00, 0), (0xFB1D, 4), (0xFB50, 5), (0xFF00, 0), (0x20000, 13)]
@@ -86,18 +85,6 @@ def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary.to_pylist()
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about CHUNK_BYTES of text."""
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < len(b):
-            done = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, done + CHUNK_BYTES, side="right")))
-            yield b.slice(start, end - start)
-            start = end
-
-
 @dataclass
 class Model:
     names: list[str]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkgrid.llm.common import cut, discard, split_mod4, table
+from larkgrid.llm.common import cut, discard, split_mod4, table, text_chunks
 
 #: Labelled rows at most; stems that become features, and those that become voters, at most.
 TRAIN, FEATURES, VOTERS = 12_000, 3000, 150
@@ -39,8 +39,7 @@ THRESHOLD = 0.3
 #: Lengths of stems; numbers of different words with a stem that are features of their own.
 STEMS, TIMES = (5, 6, 7, 8), (1, 2, 4)
 #: Words that a task remembers as having none of the features.
-KEEP_WORDS = 500_000
-CHUNK_BYTES = 1 << 20
+KEEP_WORDS = 150_000
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: A seed lexicon of common insults; it is one voter, and a second one if several occur.
@@ -81,13 +80,8 @@ def found_in(text: str, known: Callable[[str], Iterable[str]]) -> list[str]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    for b in batches:
-        texts, start, size = b.column(column).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= CHUNK_BYTES or i + 1 == len(texts):
-                yield b.slice(start, i + 1 - start), [x or "" for x in texts[start : i + 1]]
-                start, size = i + 1, 0
+    for b in text_chunks(batches, column):
+        yield b, [x or "" for x in b.column(column).to_pylist()]
 
 
 class KnownStems:
