@@ -291,8 +291,9 @@ def repeated_strings(docs: DataFrame, length: int, k: int, id_col: str, text_col
     key = f"id {kind}, mark bigint"
     sampled = cut(rows.mapInArrow(sample, f"{key}, at bigint, n bigint, first bigint, whole bigint"), "samples")
     firsts = sampled.groupBy("first").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("c > 1")
+    firsts = cut(firsts, "firsts")  # written, so that hot keys of the join can be split
     twice = cut(sampled.join(firsts.select("first", (F.col("lo") != F.col("hi")).alias("several")), "first"), "twice")
-    discard(sampled)
+    discard(sampled, firsts)
 
     # contexts that occur twice: every string in them is repeated
     wholes = twice.groupBy("first", "whole", "several").agg(F.count("*").alias("c"), F.min(F.struct("mark", "id", "at")).alias("one"))
