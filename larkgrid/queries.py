@@ -415,7 +415,7 @@ def oracles() -> dict[str, str]:
         "prefix_int_parse": f"SELECT CAST(i AS INTEGER) AS i, TRY_CAST(regexp_extract(v, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) AS v FROM (VALUES {texts(NUMBERS)}) t(i, v)",
         "float_trunc": f"SELECT CAST(i AS INTEGER) AS i, CAST(trunc(TRY_CAST(CASE WHEN NOT regexp_matches(v, '^[+-]?0[xX]') THEN regexp_extract(v, '^\\s*([+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) END AS FLOAT)) AS INTEGER) AS v FROM (VALUES {texts(AREAS)}) t(i, v)",
         "half_up_round": f"WITH {TX} SELECT CAST(floor({ppsm} + 0.5) AS BIGINT) AS ppsm, count(*) AS n FROM tx GROUP BY 1",
-        "town_list": f"WITH {_digits_sql()} SELECT id, coalesce((SELECT string_agg(list_extract({TOWNS}, k + 1), '|' ORDER BY at) FROM (SELECT k, min(p) AS at FROM (SELECT unnest(d) AS k, unnest(range(len(d))) AS p) GROUP BY k)), '') AS towns FROM ids",
+        "town_list": f"WITH {_digits_sql()} SELECT id, coalesce((SELECT string_agg(list_extract({TOWNS}, k + 1), '|' ORDER BY nth) FROM (SELECT k, min(p) AS nth FROM (SELECT unnest(d) AS k, unnest(range(len(d))) AS p) GROUP BY k)), '') AS towns FROM ids",
         "query_params": f"WITH {_digits_sql()} SELECT id, CASE WHEN len(d) >= 2 THEN CAST(({YEARS})[d[-1] + 1] AS INTEGER) END AS year, CASE WHEN len(d) >= 2 THEN CAST(CASE WHEN d[-2] = 0 THEN 10 ELSE d[-2] END AS INTEGER) END AS month FROM ids",
         "report_lines": f"{base}, {best_sql(p)} SELECT x, y, printf('(%d, %d),%d,%02d,%s,%s,%d,%s,%d,%d', x, y, month_year, month_month, town, block, floor_area, flat_model, lease_commence_date, CAST(floor(ppsm + 0.5) AS BIGINT)) AS line FROM best",
         "report_round_trip": f"{base}, {best_sql(p)} {result}",
