@@ -105,16 +105,19 @@ def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def merge_top(found: DataFrame, k: int, score: Column, copies: int = 1) -> DataFrame:
+def merge_top(found: DataFrame, k: int, score: Column, once: bool = False) -> DataFrame:
     """The k best of each query over its lists, ranked. score: from the double `s`.
 
-    copies: how often one vector may turn up for a query; of equal pairs of score and id one counts then.
+    once: an id that turns up several times for a query counts once, with its greatest score.
     """
-    pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("v")))
+    pair = lambda s, v: F.struct(s.alias("s"), v.alias("v"))
+    pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: pair(-x["scores"], x["ids"]))
+    if once:  # by id first, so that an id's entries are neighbours, the best in front
+        pairs = F.transform(pairs, lambda x: F.struct(x["v"].alias("v"), x["s"].alias("s")))
     best = found.select("query_id", pairs.alias("best")).groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
-    best = best.select("query_id", F.slice("best", 1, k * copies).alias("best"))
-    if copies > 1:  # equal ones are neighbours
-        differs = lambda x, i: (i == 0) | (x != F.get("best", i - 1))
-        best = best.select("query_id", F.slice(F.filter("best", differs), 1, k).alias("best"))
+    if once:
+        first = lambda x, i: (i == 0) | (x["v"] != F.get("best", i - 1)["v"])
+        best = best.select("query_id", F.array_sort(F.transform(F.filter("best", first), lambda x: pair(x["s"], x["v"]))).alias("best"))
+    best = best.select("query_id", F.slice("best", 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("pos", "b"))
     return ranked.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.v").alias("vec_id"), (-F.col("b.s")).alias("s")).select("query_id", "rank", "vec_id", score.alias("score"))
