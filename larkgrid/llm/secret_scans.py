@@ -9,7 +9,7 @@ token with no keyword beside it says little. Such weak candidates are reported o
 complementary parts lie near: a weak token needs an access identifier within `REACH` code points, an
 endpoint needs both an access identifier and a secret (strong or weak). This is an interval join on
 (text, scope of REACH code points): a part is offered to each scope that it may reach, a weak
-candidate looks in its own. Spans of one kind don't overlap, so what a scope holds is bounded.
+candidate looks in all that it touches. Spans of one kind don't overlap, so what a scope holds is bounded.
 
 Defined results: a null text counts as empty; an empty text has no spans, and base_sha256 is that of
 the empty string. Rows are kept as they are, repeated ids and null ids included. Columns of the
@@ -118,7 +118,7 @@ def link_parts(parts: DataFrame, reach: int) -> DataFrame:
     offers = offers.withColumn("scope", F.explode(F.sequence(scope("start") - 1, scope("end") + 1)))
     at = F.struct("start", "end")
     held = offers.groupBy("_key", "scope", "role").agg(F.sort_array(F.collect_set(at)).alias("at"))
-    weak = parts.where(F.col("kind") >= 3).withColumn("scope", scope("start"))
+    weak = parts.where(F.col("kind") >= 3).withColumn("scope", F.explode(F.sequence(scope("start"), scope("end"))))
     near = F.exists("at", lambda o: (o["start"] <= F.col("end") + reach) & (o["end"] >= F.col("start") - reach) & ((o["start"] != F.col("start")) | (o["end"] != F.col("end"))))
     met = weak.join(held, ["_key", "scope"]).where(near).groupBy("_key", "start", "kind", "end").agg(F.max(F.col("role") == "id").alias("id"), F.max(F.col("role") == "secret").alias("secret"))
     good = met.where(F.col("id") & ((F.col("kind") == 3) | F.col("secret")))
