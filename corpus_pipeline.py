@@ -25,12 +25,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the least id. Shingles of five words, similarity of 0.8 or more.
 
-    Rows without an id stay, as they can't be told apart; rows that repeat an id stay or go together.
+    Rows are told apart by id (null last) and two 64-bit digests of the text; of rows that are equal in these one
+    stays. Texts without words are in no group: all of them stay.
     """
-    found = minhash.near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     plain = numbered(docs)
-    return plain.join(gone.hint("shuffle_hash"), F.col(f"_c{docs.columns.index('doc_id')}") == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    id_col, text_col = (f"_c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), F.xxhash64(F.lit(1), text_col).alias("y"))
+    keyed = plain.withColumn("_key", key)
+    found = minhash.near_duplicates(keyed, id_col="_key", text_col=text_col).where("n_shingles > 0")
+    groups = found.groupBy("_key", "component_id").agg(F.count("*").alias("n"))
+    marked = cut(groups.where("_key <> component_id or n > 1").select(F.col("_key").alias("_mark"), (F.col("_key") == F.col("component_id")).alias("_first")), "pipeline-marked")
+    out = keyed.join(marked.select("_mark").hint("shuffle_hash"), F.col("_key") == F.col("_mark"), "left_anti")
+    again = marked.where("_first").select("_mark")
+    if not again.isEmpty():  # equal rows, one of which stays
+        out = out.union(keyed.join(again.hint("shuffle_hash"), F.col("_key") == F.col("_mark"), "left_semi").dropDuplicates(["_key"]))
+    return out.drop("_key").toDF(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
