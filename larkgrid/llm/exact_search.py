@@ -49,9 +49,10 @@ def scan_block(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, vectors: n
         have_ids, have = best[i]
         kth = have[-1] if len(have) >= k else -np.inf
         upper = about + reach[i]
-        if len(about) > k:
-            # the kth lower bound is sure to be reached as well
-            kth = max(kth, np.partition(about, len(about) - k - 1)[len(about) - k - 1] - reach[i])
+        if len(about) >= k:
+            # the kth lower bound of the others is sure to be reached as well
+            others = np.where(ids == own[i], -np.inf, about)
+            kth = max(kth, np.partition(others, len(others) - k)[len(others) - k] - reach[i])
         left = np.flatnonzero((upper >= kth) & (ids != own[i]))
         if not len(left):
             continue
