@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a folder of our own, in local mode only: on a cluster it would not be shared."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return root or f"file://{tempfile.gettempdir()}/larkgrid-shared"
 
 
@@ -49,6 +51,15 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Bytes that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def light(rows: DataFrame, size: int) -> DataFrame:
+    """For a join's smaller side of `size` bytes: broadcast if that is little, else left to a shuffle, which builds its table from it."""
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows.hint("shuffle_hash")
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with its columns named by number, which no column of ours can clash with; `toDF` with the old names undoes it."""
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
@@ -60,7 +71,7 @@ def spill_dir() -> str:
     Nothing in it is read by any other task, and a task that is run again starts it afresh.
     """
     roots = (os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")
-    return tempfile.mkdtemp(prefix="larkgrid-spill-", dir=roots[0])
+    return tempfile.mkdtemp(prefix="larkgrid-spill-", dir=roots[os.getpid() % len(roots)])
 
 
 def split_mod4(doc_id="doc_id"):

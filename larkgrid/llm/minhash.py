@@ -10,8 +10,11 @@ follows. In each bucket every class makes one candidate edge, to the bucket's le
 edges are bounded by bucket entries. Candidates are confirmed on the full sets. A bucket of different
 classes whose members aren't all in one component after that could still hide a link between two of
 the others; for these buckets alone, pairs across components are compared too: members whose shingles
-occur nowhere else too often drop out, small buckets are joined, large ones compared in blocks without
-making pairs. So every pair that shares a bucket is either confirmed, refused, or in one component.
+occur nowhere else too often drop out, small buckets are joined, and in large ones the members outside
+the most common component are compared with all, in blocks, without making pairs. So every pair that
+shares a bucket is either confirmed, refused, or in one component.
+
+Full sets are made again from the texts of the classes that are asked for, found by id and text digest.
 
 With 40 bands of 5 bins a pair of similarity 0.8 shares no bucket with a chance of 1e-7.
 
@@ -30,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import cut, discard, table, text_chunks
+from larkgrid.llm.common import cut, discard, light, table, text_chunks
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Members of a bucket whose pairs across components are joined; larger ones are compared in blocks of BLOCK.
 FEW, BLOCK, BLOCK_TOKENS = 48, 512, 1 << 19
+#: Shingles that a task counts at once, and those of a part.
+COUNT_TOKENS, PART_TOKENS = 1 << 20, 1 << 20
 #: Words that a task remembers the hash of.
 KEEP_WORDS = 150_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
@@ -97,7 +102,7 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n (size of the set), fp (its digest; null if empty), bands."""
+    """Per row: id, mark (digest of the text), n (size of the set), fp (its digest; null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, 1):
@@ -107,21 +112,35 @@ def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "mark", "n", "fp", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, fp binary, bands array<bigint>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, mark bigint, n bigint, fp binary, bands array<bigint>")
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, for a join."""
+    return light(rows, 40 * rows.count())
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """The full sets of wanted classes (node, wid, fp), each from one document: node, set."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wid")))
+    """The full sets of wanted classes (node, wid, wmark, fp), each from the texts of one id and digest: node, set.
+
+    A task makes a set once. Equal rows in other tasks may make it again; the caller drops those.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = rows.join(small(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in text_chunks(batches, 0):
-            texts = b.column(0).to_pylist()
+            nodes = b.column(2).to_pylist()
+            new = [i for i, x in enumerate(nodes) if x not in done and not done.add(x)]
+            b = b.take(pa.array(new, pa.int64()))
+            if len(done) > KEEP_WORDS:
+                done.clear()
             keep, sets = [], []
-            for i, (s, fp) in enumerate(zip(shingle_sets(texts, k), b.column(1).to_pylist(), strict=True)):
+            for i, (s, fp) in enumerate(zip(shingle_sets(b.column(0).to_pylist(), k), b.column(1).to_pylist(), strict=True)):
                 if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == fp:
                     keep.append(i)
                     sets.append(s.view(np.int64))
@@ -135,7 +154,74 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    return left.join(small(pairs), "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+
+
+def lone_tokens(sets: DataFrame, parts: int) -> DataFrame:
+    """node, single: how many shingles of each set no other set has, at most (40 bits of each are compared).
+
+    Tasks send the shingles that occur once in a chunk with their node, the others once without; a part of
+    the shingles is counted by one task. So a shingle that all sets have is sent once for each chunk.
+    """
+    block = "part bigint, nodes binary, once binary, often binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            node, token = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            token = token.view(np.uint64) >> np.uint64(24)
+            order = np.argsort(token, kind="stable")
+            node, token = node[order], token[order]
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            lone = new & np.append(new[1:], True)
+            part = token % np.uint64(parts)
+            rows = []
+            for some in (lone, new & ~lone):
+                at = np.flatnonzero(some)
+                at = at[np.argsort(part[at], kind="stable")]
+                rows.append((at, np.searchsorted(part[at], np.arange(parts + 1, dtype=np.uint64))))
+            (a, i), (b, j) = rows
+            cols = [[x[c[p] : c[p + 1]].tobytes() for p in range(parts)] for x, c in ((node[a], i), (token[a], i), (token[b], j))]
+            some = [p for p in range(parts) if cols[1][p] or cols[2][p]]
+            for s in range(0, len(some), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(some[s : s + 256], pa.int64()), *(pa.array([c[p] for p in some[s : s + 256]], pa.binary()) for c in cols)], ["part", "nodes", "once", "often"])
+
+        size = 0
+        for b in batches:
+            for node, values in zip(b.column(0).to_pylist(), (b.column(1)[i].values.to_numpy(zero_copy_only=False) for i in range(len(b))), strict=True):
+                held.append((np.full(len(values), node), values.copy()))
+                size += len(values)
+                if size >= COUNT_TOKENS:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            node, once, often = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(held, (np.int64, np.uint64, np.uint64), strict=True))
+            kinds, at, times = np.unique(once, return_index=True, return_counts=True)
+            lone = (times == 1) & ~np.isin(kinds, often)
+            nodes, n = np.unique(node[at[lone]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n.astype(np.int64))], ["node", "single"])
+
+        for b in batches:
+            for part, *cols in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from done()
+                    now, held = part, ([], [], [])
+                for x, c in zip(held, cols, strict=True):
+                    x.append(c)
+        if now is not None:
+            yield from done()
+
+    sent = sets.select("node", "set").mapInArrow(send, block).repartition("part").sortWithinPartitions("part")
+    return sent.mapInArrow(count, "node bigint, single bigint").groupBy("node").agg(F.sum("single").alias("single"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,7 +243,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = new
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._larkgrid_path = now._larkgrid_path
+            return out
         mark = got
 
 
@@ -173,77 +261,97 @@ def several_roots(rows: DataFrame) -> DataFrame:
 
 
 def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across roots within large buckets, all pairs compared in blocks.
+    """Links (a, b) across roots within large buckets.
 
-    rows: key, node, root, n, c, tokens. A bucket's members are dealt to blocks of about BLOCK members
-    and BLOCK_TOKENS shingles, each pair of blocks is a piece of work of its own, and its sets are compared by one product of matrices. Of
-    the links that are found, only those that join two roots not joined before are returned.
+    rows: key, node, root, n, c, tokens. Of two members with different roots one is outside the bucket's
+    most common root; those outside are held, in blocks of about BLOCK members and BLOCK_TOKENS shingles,
+    and all members pass by, dealt to as many tasks as their number asks for. Sets are compared by products
+    of matrices. Of the links that are found, only those that join two roots not joined before are returned.
     """
-    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("mine", mine).withColumn("theirs", F.explode(F.expr("sequence(0, parts - 1)")))
-    rows = rows.select(F.xxhash64("key", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("work"), "node", "root")
-    held = rows.join(sets, "node").select("work", "node", "root", "set").repartition("work").sortWithinPartitions("work", "node")
-
-    def links(nodes: list[int], roots: list[int], own: list[np.ndarray]) -> list[tuple[int, int]]:
-        n = np.array([len(x) for x in own])
-        at, tokens = np.repeat(np.arange(len(own)), n), np.concatenate(own)
-        kinds, inverse, times = np.unique(tokens, return_inverse=True, return_counts=True)
-        new = np.cumsum(times > 1) - 1
-        both = np.zeros((len(own), len(own)), dtype=np.float32)
-        keep = times[inverse] > 1
-        at, col = at[keep], new[inverse[keep]]
-        order = np.argsort(col, kind="stable")
-        at, col = at[order], col[order]
-        for s in range(0, int((times > 1).sum()), 2048):  # columns at a time
-            i, j = np.searchsorted(col, [s, s + 2048])
-            m = np.zeros((len(own), 2048), dtype=np.float32)
-            m[at[i:j], col[i:j] - s] = 1
-            both += m @ m.T
-        r = np.array(roots)
-        good = (100 * both >= percent * (n[:, None] + n - both)) & (r[:, None] < r)
-        parent = {x: x for x in roots}
-        out = []
+    kinds = rows.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    major = kinds.groupBy("key").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("major"), (F.sum("m") - F.max("m")).alias("m"), F.sum("t").alias("t"), F.sum("m").alias("c"))
+    blocks = lambda m, t: F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(t) / BLOCK_TOKENS), F.lit(1)).cast("int")
+    major = major.select("key", "major", blocks("m", "t").alias("own"), blocks("c", "t").alias("all"))
+    slot = lambda seed, parts: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    rows = rows.drop("c", "tokens").join(major, "key")
+    held = rows.where("root <> major").withColumn("i", slot(1, "own")).withColumn("j", each("all")).withColumn("side", F.lit(0))
+    passing = rows.withColumn("j", slot(2, "all")).withColumn("i", each("own")).withColumn("side", F.lit(1))
+    work = held.unionByName(passing).select(F.xxhash64("key", "i", "j").alias("work"), "side", "node", "root")
+    # a set travels once for each piece of work, whatever the number of bands that it is asked for in
+    asked = work.groupBy("node", "root").agg(F.collect_set(F.struct("work", "side")).alias("asked"))
+    met = asked.join(sets, "node").select(F.explode("asked").alias("w"), "node", "root", "set").select("w.work", "w.side", "node", "root", "set")
+    met = met.repartition("work").sortWithinPartitions("work", "side", "node")
+
+    def links(own: list, other: list, parent: dict) -> Iterator[tuple[int, int]]:
+        """own, other: (node, root, set)."""
+        vocabulary = np.unique(np.concatenate([x[2] for x in own]))
+        marks, sizes = [], []
+        for group in (own, other):
+            n = np.array([len(x[2]) for x in group])
+            tokens = np.concatenate([x[2] for x in group])
+            col = np.minimum(np.searchsorted(vocabulary, tokens), len(vocabulary) - 1)
+            known = vocabulary[col] == tokens
+            at, col = np.repeat(np.arange(len(group)), n)[known], col[known]
+            order = np.argsort(col, kind="stable")
+            marks.append((at[order], col[order]))
+            sizes.append(n)
+        met = np.intersect1d(marks[0][1], marks[1][1])  # columns that both have
+        both = np.zeros((len(own), len(other)), dtype=np.float32)
+        for s in range(0, len(met), 2048):
+            cols, m = met[s : s + 2048], []
+            for (at, col), group in zip(marks, (own, other), strict=True):
+                i, j = np.searchsorted(col, [cols[0], cols[-1] + 1])
+                place = np.minimum(np.searchsorted(cols, col[i:j]), len(cols) - 1)
+                ok = cols[place] == col[i:j]
+                x = np.zeros((len(group), len(cols)), dtype=np.float32)
+                x[at[i:j][ok], place[ok]] = 1
+                m.append(x)
+            both += m[0] @ m[1].T
+        roots = [np.array([x[1] for x in g]) for g in (own, other)]
+        good = (100 * both >= percent * (sizes[0][:, None] + sizes[1] - both)) & (roots[0][:, None] != roots[1])
         for i in np.flatnonzero(good.any(axis=1)).tolist():
             for j in np.flatnonzero(good[i]).tolist():
-                x, y = roots[i], roots[j]
-                while parent[x] != x:
+                x, y = own[i][1], other[j][1]
+                while parent.setdefault(x, x) != x:
                     x = parent[x]
-                while parent[y] != y:
+                while parent.setdefault(y, y) != y:
                     y = parent[y]
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    out.append((nodes[i], nodes[j]))
-        return out
+                    yield own[i][0], other[j][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [])
+        now, own, other, parent, size = None, [], [], {}, 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            got = links(*held) if len(set(held[1])) > 1 else []
-            if got:
+            if own and other and (got := list(links(own, other, parent))):
                 a, b = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for b in batches:
-            sets_at = b.column(3)
-            for i, (work, node, root) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
-                if work != now:
+            sets_at = b.column(4)
+            for i, (work, side, node, root) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)), strict=True)):
+                if work != now or len(other) >= BLOCK or size >= BLOCK_TOKENS:
                     yield from done()
-                    now, held = work, ([], [], [])
-                if not held[0] or held[0][-1] != node:
-                    held[0].append(node)
-                    held[1].append(root)
-                    held[2].append(sets_at[i].values.to_numpy(zero_copy_only=False).copy())
+                    other, size = [], 0
+                    if work != now:
+                        now, own, parent = work, [], {}
+                row = (node, root, sets_at[i].values.to_numpy(zero_copy_only=False).copy())
+                if side:
+                    other.append(row)
+                    size += len(row[2])
+                else:
+                    own.append(row)
         yield from done()
 
-    return held.mapInArrow(run, "a bigint, b bigint")
+    return met.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id_col, n_shingles, component_id (the least id that links reach)."""
     rows = cut(features(docs, shingle, id_col, text_col), "features")
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.min(F.struct("id", "mark")).alias("who"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = classes.select("node", "n", F.explode("bands").alias("key"))
     buckets = cut(entries.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1"), "buckets")
@@ -254,8 +362,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     star = members.where("node <> hub").groupBy("node", "hub", "n").agg(F.lit(1).alias("one")).join(size, "hub").where(alike(F.col("n"), F.col("hub_n")))
     star = cut(star.select(F.col("node").alias("a"), F.col("hub").alias("b")), "star")
     # each class that has a bucket with others may be asked for, now or among the pairs across components
-    asked = members.select("node").distinct().join(classes, "node").select("node", F.col("id").alias("wid"), "fp")
-    sets = cut(sets_of(docs, asked, shingle, id_col, text_col).dropDuplicates(["node"]), "sets")
+    asked = members.select("node").distinct().join(classes, "node").select("node", F.col("who.id").alias("wid"), F.col("who.mark").alias("wmark"), "fp")
+    asked = cut(asked, "asked")
+    sets = cut(sets_of(docs, asked, shingle, id_col, text_col), "sets")
+    if sets.count() > asked.count():  # equal rows that several tasks have seen
+        again, sets = sets, cut(sets.dropDuplicates(["node"]), "sets")
+        discard(again)
     links = cut(confirm(star, sets, percent), "links")
     roots = components(links)
 
@@ -263,10 +375,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     labelled = cut(labelled, "labelled")
     mixed = cut(several_roots(labelled), "mixed")
     # a shingle that no other of these sets has can't be in an intersection: what is left bounds the similarity
-    own = mixed.select("node", "n").distinct()
-    token = own.join(sets, "node").select("node", F.explode("set").alias("token"))
-    single = token.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("single"))
+    own = cut(mixed.select("node", "n").distinct(), "own")
+    parts = 32 + (own.agg(F.sum("n")).first()[0] or 0) // PART_TOKENS
+    single = lone_tokens(sets.join(small(own.select("node")), "node"), parts)
     bound = own.join(single, "node", "left").select("node", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared")).where(100 * F.col("shared") >= percent * F.col("n"))
+    bound = cut(bound, "bound")
     mixed_again = cut(several_roots(mixed.join(bound, "node")), "mixed")
     few = mixed_again.where(F.col("c") <= FEW)
     other = few.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "shared")])
@@ -274,14 +387,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     across = few.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
     across = across.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(confirm(across.join(tested, ["a", "b"], "left_anti"), sets, percent).union(block_links(mixed_again.where(F.col("c") > FEW), sets, percent)), "links")
+    across = cut(across.join(tested, ["a", "b"], "left_anti"), "across")
+    more = cut(confirm(across, sets, percent).union(block_links(mixed_again.where(F.col("c") > FEW), sets, percent)), "links")
     if not more.isEmpty():
+        discard(roots)
         roots = components(links.union(more))
 
     placed = classes.select("node", "fp", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     placed = cut(placed.join(least, "root").select("fp", "component_id"), "placed")
-    discard(buckets, members, star, sets, labelled, mixed, mixed_again, links, more)
+    discard(classes, buckets, members, star, asked, sets, labelled, mixed, mixed_again, own, bound, across, links, more, roots)
     out = rows.select("id", "n", "fp").join(placed, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
