@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from larkgrid.plans.grids import grid
 from larkgrid.schema import QuerySpec
 
 
+#: Bytes of a dictionary code in a row, and of an entry beside its text: code, hash and two references.
+CODE_BYTES, ENTRY_BYTES = 2, 40
+
+
 def funnel(rows: DataFrame, spec: QuerySpec) -> DataFrame:
     """Rows left after each predicate of the widest window, and prices of the pool, in one pass."""
     steps = [in_year(spec)]
@@ -44,10 +50,19 @@ def comparison_counts(rows: DataFrame, spec: QuerySpec, town_first: bool = False
     )
 
 
-def footprint(rows: DataFrame, text_columns: list[str], fixed_bytes: int) -> DataFrame:
-    """Rows, bytes of fixed-width fields and bytes of texts."""
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in text_columns), F.lit(0).cast("bigint"))
-    return rows.agg(F.count("*").alias("n_rows"), (F.count("*") * fixed_bytes).alias("fixed_bytes"), F.coalesce(F.sum(size), F.lit(0)).alias("text_bytes"))
+def footprint(rows: DataFrame, text_columns: list[str], fixed_bytes: int, encoded: Sequence[str] = ()) -> DataFrame:
+    """Rows, bytes of fixed-width fields and of texts; for encoded columns the entries and bytes of their dictionaries.
+
+    A dictionary holds every value and an entry of ENTRY_BYTES for it; codes of CODE_BYTES count as fixed width.
+    """
+    names = ["n_rows", "fixed_bytes", "text_bytes", "dictionary_entries", "dictionary_bytes"]
+    zero, total = F.lit(0).cast("bigint"), lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in text_columns), zero)
+    out = rows.agg(F.count("*"), F.count("*") * (fixed_bytes + CODE_BYTES * len(encoded)), total(size), zero, zero).toDF(*names)
+    for c in encoded:
+        values = rows.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct()
+        out = out.union(values.agg(zero, zero, zero, F.count("*"), total(F.octet_length("value") + ENTRY_BYTES)).toDF(*names))
+    return out.agg(*[F.sum(n).alias(n) for n in names])
 
 
 def trimmed_mean(times: list[float]) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkgrid.functions.scalars import end_month
+from larkgrid.operators import dictionary
 from larkgrid.schema import QuerySpec
 
 
@@ -31,9 +32,23 @@ def cheap_enough(spec: QuerySpec) -> Column:
     return F.col("resale_price") <= F.lit(spec.threshold).cast("bigint") * F.col("floor_area")
 
 
-def pool(rows: DataFrame, spec: QuerySpec, push_threshold: bool = True) -> DataFrame:
-    """Rows that can be in any answer. The threshold may go first since a best record beyond it is not reported."""
-    out = rows.where(in_year(spec) & in_months(spec) & in_towns(spec) & large_enough(spec.y_min))
+def in_town_ids(rows: DataFrame, spec: QuerySpec) -> DataFrame:
+    """Rows in the query's towns, by ids of a dictionary of the column: towns it does not have drop out, and without any there is no row."""
+    known = dictionary.build(rows, "town", spec.ties)
+    ids = [r["id"] for r in dictionary.lookup(known, spec.towns).collect()]  # as many as the query has towns
+    return dictionary.encode(rows, known, "town").where(F.col("town_id").isin(ids) if ids else F.lit(False)).drop("town_id")
+
+
+def pool(rows: DataFrame, spec: QuerySpec, push_threshold: bool = True, town_first: bool = False, by_ids: bool = False) -> DataFrame:
+    """Rows that can be in any answer. The threshold may go first since a best record beyond it is not reported.
+
+    town_first: the towns are the first conjunct; by_ids: they are compared as dictionary ids.
+    """
+    time = in_year(spec) & in_months(spec)
+    if by_ids:
+        out = in_town_ids(rows.where(time & large_enough(spec.y_min)), spec)
+    else:
+        out = rows.where((in_towns(spec) & time if town_first else time & in_towns(spec)) & large_enough(spec.y_min))
     return out.where(cheap_enough(spec)) if push_threshold else out
 
 

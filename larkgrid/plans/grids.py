@@ -24,9 +24,9 @@ class Strategy:
     plan: str = "cumulative"
     push_threshold: bool = True
     precomputed: bool = False
-    #: Accepted for completeness: storage has dictionaries, and the order of conjuncts is the optimizer's.
+    #: Towns are compared as ids of a dictionary; or they are the first conjunct of the filter.
     dictionary: bool = False
-    predicate_order: str = "year"
+    town_first: bool = False
 
 
 def record(spec: QuerySpec, ppsm: Column | None = None) -> Column:
@@ -44,7 +44,7 @@ def grid(spark: SparkSession, spec: QuerySpec) -> DataFrame:
 
 def best_cells(rows: DataFrame, spec: QuerySpec, strategy: Strategy = Strategy()) -> DataFrame:
     """The best record (rec) of each month offset and area, areas beyond y_max in the last."""
-    rows = pool(rows, spec, strategy.push_threshold)
+    rows = pool(rows, spec, strategy.push_threshold, strategy.town_first, strategy.dictionary)
     ppsm = F.col("price_per_sqm") if strategy.precomputed else None
     offset, bucket = month_offset(F.col("month_month"), spec.month), F.least("floor_area", F.lit(spec.y_max))
     return rows.groupBy(offset.cast("int").alias("off"), bucket.alias("bucket")).agg(F.min(record(spec, ppsm)).alias("rec"))
@@ -81,7 +81,7 @@ def all_pairs(rows: DataFrame, spec: QuerySpec, strategy: Strategy = Strategy())
         found = held.join(F.broadcast(full), fits).groupBy("x", "y").agg(F.min("rec").alias("rec"))
     elif strategy.plan == "scan":
         ppsm = F.col("price_per_sqm") if strategy.precomputed else None
-        held = pool(rows, spec, strategy.push_threshold).withColumn("off", month_offset(F.col("month_month"), spec.month)).withColumn("rec", record(spec, ppsm))
+        held = pool(rows, spec, strategy.push_threshold, strategy.town_first, strategy.dictionary).withColumn("off", month_offset(F.col("month_month"), spec.month)).withColumn("rec", record(spec, ppsm))
         found = held.join(F.broadcast(full), (F.col("off") <= F.col("x")) & large_enough(F.col("y"))).groupBy("x", "y").agg(F.min("rec").alias("rec"))
     else:
         raise ValueError(f"no plan named {strategy.plan}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkgrid.functions import scalars as S
 from larkgrid.functions.params import params_columns, spec_of, towns_column
-from larkgrid.operators import diagnostics, dictionary, parity
+from larkgrid.operators import diagnostics, dictionary, evaluation, parity
 from larkgrid.operators.filters import cheap_enough
 from larkgrid.plans import grids
 from larkgrid.plans.grids import Strategy
@@ -170,6 +170,14 @@ CSV_INGEST_SQL = """SELECT CAST(year(l_shipdate) + 20 AS INTEGER) AS month_year,
  FROM lineitem WHERE l_orderkey % 11 NOT BETWEEN 1 AND 7 GROUP BY ALL"""
 
 
+def csv_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as csv_ingest from text files, which are written first."""
+    path = transactions.scratch_path(spark, "lines")
+    lineitem_lines(spark, sf_dir).select("value").write.option("lineSep", "\n").text(path)
+    parsed = transactions.good_rows(transactions.read_csv(spark, path, REQUIRED))
+    return parsed.groupBy("month_year", "month_month", "town", "flat_model").agg(F.count("*").alias("n"), F.sum("floor_area").cast("bigint").alias("area"), F.sum("resale_price").alias("price"), F.sum("lease_commence_date").cast("bigint").alias("lease"))
+
+
 def csv_rejects_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = transactions.parse_lines(lineitem_lines(spark, sf_dir), REQUIRED)
     return transactions.rejected_rows(parsed).groupBy("reject_reason").agg(F.count("*").alias("n"))
@@ -285,7 +293,31 @@ def parity_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parity_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity.extra(*two_results(spark, sf_dir))
+    return parity.extra(*reversed(two_results(spark, sf_dir)))
+
+
+def parity_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two plans of one identifier agree but for what is planted: one pair gone, one new, two changed."""
+    expected, got = grid_with(PARTIAL)(spark, sf_dir), grid_with(PARTIAL, Strategy("cells"))(spark, sf_dir)
+    at = lambda x, y: (F.col("x") == x) & (F.col("y") == y)
+    new = got.where(at(8, 80)).withColumn("x", F.lit(9))
+    got = got.where(~at(8, 81)).withColumn("floor_area", F.when(at(8, 82), F.col("floor_area") + 1).otherwise(F.col("floor_area"))).withColumn("town", F.when(at(8, 83), F.lit("ELSEWHERE")).otherwise(F.col("town"))).union(new)
+    mark = lambda df, what: df.select("x", "y", F.lit(what).alias("what"))
+    changed = parity.mismatches(expected, got).select("x", "y", F.col("fields").alias("what"))
+    return mark(parity.missing(expected, got), "missing").union(mark(parity.extra(expected, got), "extra")).union(changed)
+
+
+def eval_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every configuration's result: pairs, a checksum, and how many of its pairs the baseline lacks or has otherwise."""
+    spec, out, base = spec_for(PARTIAL), None, None
+    rows = rows_for(spark, sf_dir, spec)
+    for i, (_, strategy) in enumerate(evaluation.CONFIGURATIONS):
+        result = grids.grid_query(rows, spec, strategy)
+        base = result if base is None else base
+        wrong = parity.mismatches(base, result).select("x").union(parity.extra(base, result).select("x")).agg(F.count("*").alias("wrong"))
+        one = result.agg(F.count("*").alias("pairs"), F.sum("ppsm_rounded").alias("checksum")).join(F.broadcast(wrong)).select(F.lit(i).alias("config"), "pairs", "checksum", "wrong")
+        out = one if out is None else out.union(one)
+    return out
 
 
 def parity_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,10 +326,8 @@ def parity_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parity_sql(what: str) -> str:
     ctes = f"WITH a AS ({grid_sql(FULL)}), b AS ({grid_sql(PARTIAL)})"
-    if what == "missing":
+    if what in ("missing", "extra"):  # the other way round, what one lacks the other has beyond it
         return f"{ctes} SELECT x, y FROM a ANTI JOIN b USING (x, y)"
-    if what == "extra":
-        return f"{ctes} SELECT x, y FROM b ANTI JOIN a USING (x, y)"
     issues = ", ".join(f"CASE WHEN a.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in parity.FIELDS)
     return f"{ctes} SELECT * FROM (SELECT a.x, a.y, concat_ws(',', {issues}) AS fields FROM a JOIN b ON a.x = b.x AND a.y = b.y) WHERE fields <> ''"
 
@@ -308,18 +338,19 @@ def load_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.footprint(from_lineitem(spark, sf_dir), ["town", "block", "flat_model"], 11)
+    return diagnostics.footprint(from_lineitem(spark, sf_dir), ["town", "block", "flat_model"], 11, ["town", "flat_model"])
 
 
 def result_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.preview(grid_with(FULL)(spark, sf_dir))
 
 
-SAMPLES = [[5.0, 1.0, 2.0, 3.0, 9.0], [4.0, 2.0], [7.0, 7.0, 7.0, 1.0, 8.0, 2.0]]
+#: Runs of three configurations by metric.
+SAMPLES = {"query": [[5.0, 1.0, 2.0, 3.0, 9.0], [4.0, 2.0], [7.0, 7.0, 7.0, 1.0, 8.0, 2.0]], "load": [[8.0], [10.0], [8.0]], "memory": [[4096.0], [1024.0], [4100.0]], "town_comparisons": [[900.0], [0.0], [450.0]]}
 
 
 def bench_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = [("query", i, diagnostics.trimmed_mean(s)) for i, s in enumerate(SAMPLES)]
+    means = [(name, i, diagnostics.trimmed_mean(s)) for name, runs in SAMPLES.items() for i, s in enumerate(runs)]
     return diagnostics.against_baseline(spark.createDataFrame(means, "name string, config int, value double"))
 
 
@@ -343,6 +374,7 @@ QUERIES = {
     "month_parse_rejects": month_parse_rejects,
     "csv_tokenize": csv_tokenize,
     "csv_ingest": csv_ingest,
+    "csv_text_files": csv_text_files,
     "csv_rejects_by_reason": csv_rejects_by_reason,
     "ingest_counters": ingest_counters,
     "trim_ws": trim_ws,
@@ -363,6 +395,9 @@ QUERIES = {
     "parity_missing": parity_missing,
     "parity_extra": parity_extra,
     "parity_mismatch": parity_mismatch,
+    "parity_planted": parity_planted,
+    "eval_configurations": eval_configurations,
+    "grid_dictionary_ids": grid_with(PARTIAL, Strategy("cells", dictionary=True)),
     "load_append": load_append,
     "store_footprint": store_footprint,
     "result_preview": result_preview,
@@ -387,7 +422,8 @@ def oracles() -> dict[str, str]:
     running = f"SELECT x, y, ppsm, {TIES} FROM (SELECT x, y, p.*, row_number() OVER (PARTITION BY x, y ORDER BY ppsm, {TIES}) AS rn FROM grid JOIN pool p ON %s) WHERE rn = 1"
     result = f"SELECT x, y, {FIELDS}, CAST(floor(ppsm + 0.5) AS BIGINT) AS ppsm_rounded FROM best"
     bad = "l_orderkey % 11"
-    mean = [(i, (sum(sorted(s)[1:-1]) / (len(s) - 2)) if len(s) >= 5 else sum(s) / len(s)) for i, s in enumerate(SAMPLES)]
+    runs = ", ".join(f"('{name}', {i}, {s})" for name, each in SAMPLES.items() for i, s in enumerate(each))
+    planted = "(x = 8 AND y = 80) OR (x = 8 AND y BETWEEN 81 AND 83)"
     union = " UNION ALL ".join(f"SELECT '{i}' AS id, * FROM ({grid_sql(i)})" for i in (FULL, PARTIAL, OTHER, EMPTY))
     return {
         "grid_argmin": grid_sql(FULL),
@@ -409,6 +445,7 @@ def oracles() -> dict[str, str]:
         "month_parse_rejects": typed_rows([(i, *(e or (None, None))) for i, e in enumerate(MONTH_EXPECTED)], ["i", "year", "month"], ["INTEGER"] * 3),
         "csv_tokenize": typed_rows([(i, k, t) for i, ts in enumerate(LINE_TOKENS) for k, t in enumerate(ts)], ["i", "pos", "token"], ["INTEGER", "INTEGER", "VARCHAR"]),
         "csv_ingest": CSV_INGEST_SQL,
+        "csv_text_files": CSV_INGEST_SQL,
         "csv_rejects_by_reason": f"SELECT CASE {bad} WHEN 1 THEN 'month' WHEN 2 THEN 'empty' WHEN 3 THEN 'price' WHEN 4 THEN 'area' WHEN 5 THEN 'lease' ELSE 'arity' END AS reject_reason, count(*) AS n FROM lineitem WHERE {bad} BETWEEN 1 AND 6 GROUP BY ALL",
         "ingest_counters": f"SELECT count(*) FILTER ({bad} <> 7) AS lines_read, count(*) FILTER ({bad} NOT BETWEEN 1 AND 7) AS loaded, count(*) FILTER ({bad} BETWEEN 1 AND 6) AS skipped FROM lineitem",
         "trim_ws": f"SELECT CAST(i AS INTEGER) AS i, trim(v, ' ' || chr(9) || chr(10) || chr(13)) AS v FROM (VALUES {texts(PADDED)}) t(i, v)",
@@ -430,9 +467,13 @@ def oracles() -> dict[str, str]:
         "parity_extra": parity_sql("extra"),
         "parity_mismatch": parity_sql("mismatch"),
         "load_append": f"WITH {TX} SELECT CAST(0 AS INTEGER) AS load, month_year, count(*) AS n FROM tx GROUP BY ALL UNION ALL SELECT CAST(1 AS INTEGER), month_year, count(*) FROM tx WHERE month_year = 2017 GROUP BY ALL",
-        "store_footprint": f"WITH {TX} SELECT count(*) AS n_rows, count(*) * 11 AS fixed_bytes, CAST(sum(strlen(town) + strlen(block) + strlen(flat_model)) AS BIGINT) AS text_bytes FROM tx",
+        "store_footprint": f"""WITH {TX}, e AS (SELECT DISTINCT 'town' AS c, town AS value FROM tx UNION ALL SELECT DISTINCT 'flat_model', flat_model FROM tx)
+ SELECT count(*) AS n_rows, count(*) * 15 AS fixed_bytes, CAST(sum(strlen(town) + strlen(block) + strlen(flat_model)) AS BIGINT) AS text_bytes,
+ (SELECT count(*) FROM e) AS dictionary_entries, (SELECT CAST(sum(strlen(value) + 40) AS BIGINT) FROM e) AS dictionary_bytes FROM tx""",
         "result_preview": f"SELECT * FROM ({grid_sql(FULL)}) ORDER BY x, y LIMIT 5",
-        "bench_metrics": f"SELECT 'query' AS name, CAST(c AS INTEGER) AS config, CAST(v AS DOUBLE) AS value, {mean[0][1]!r} / CAST(v AS DOUBLE) AS speedup, ({mean[0][1]!r} - CAST(v AS DOUBLE)) / {mean[0][1]!r} * 100 AS saved_percent FROM (VALUES {', '.join(f'({i}, {v!r})' for i, v in mean)}) t(c, v)",
+        "bench_metrics": f"""WITH m AS (SELECT name, CAST(config AS INTEGER) AS config, CASE WHEN len(v) >= 5 THEN list_avg(list_sort(v)[2:-2]) ELSE list_avg(v) END AS value FROM (VALUES {runs}) t(name, config, v))
+ SELECT m.name, m.config, m.value, CASE WHEN m.value <> 0 THEN b.value / m.value END AS speedup, (b.value - m.value) / b.value * 100 AS saved_percent FROM m JOIN m b ON b.name = m.name AND b.config = 0""",
+        "parity_planted": f"SELECT CAST(CASE WHEN y = 80 THEN 9 ELSE x END AS INTEGER) AS x, y, CASE y WHEN 80 THEN 'extra' WHEN 81 THEN 'missing' WHEN 82 THEN 'floor_area' ELSE 'town' END AS what FROM ({grid_sql(PARTIAL)}) WHERE {planted}",
+        "eval_configurations": f"SELECT CAST(config AS INTEGER) AS config, pairs, checksum, CAST(0 AS BIGINT) AS wrong FROM range({len(evaluation.CONFIGURATIONS)}) c(config), (SELECT count(*) AS pairs, CAST(sum(ppsm_rounded) AS BIGINT) AS checksum FROM ({grid_sql(PARTIAL)}))",
+        "grid_dictionary_ids": grid_sql(PARTIAL),
     }
-
-

@@ -19,9 +19,13 @@ def report_lines(result: DataFrame) -> DataFrame:
     return result.select("x", "y", F.concat_ws(",", *[F.coalesce(f, F.lit("")) if not isinstance(f, str) else F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("line"))
 
 
+def report_name(identifier: str) -> str:
+    return f"ScanResult_{identifier}.csv"
+
+
 def write_report(result: DataFrame, identifier: str, folder: str = ".") -> tuple[str, int]:
     """Writes ScanResult_<identifier>.csv, replacing it; a result has a row for each pair at most. Path and rows written."""
-    path = os.path.join(folder, f"ScanResult_{identifier}.csv")
+    path = os.path.join(folder, report_name(identifier))
     lines = [r["line"] for r in report_lines(result).orderBy("x", "y").collect()]
     with open(path, "w", encoding="utf-8", newline="") as f:
         f.write("".join(f"{x}\n" for x in [HEADER, *lines]))

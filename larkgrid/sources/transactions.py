@@ -7,11 +7,14 @@ byte order mark is accepted. Rows that can't be read go to a side frame with the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkgrid.functions.scalars import month_parts, prefix_float, prefix_int, strip, truncated
-from larkgrid.schema import AREA_RANGE, LEASE_RANGE, PRICE_RANGE, REQUIRED, TEXT_FIELDS, TOWNS, TRANSACTIONS
+from larkgrid.schema import AREA_RANGE, LEASE_RANGE, MONTHS, PRICE_RANGE, REQUIRED, TEXT_FIELDS, TOWNS, TRANSACTIONS, YEAR_RANGE
 
 
 #: A quoted part: up to a single quote or the end of the line. A field: such parts and others. Possessive, so no line is gone over twice.
@@ -44,13 +47,15 @@ def bind_header(names: list[str]) -> dict[str, int]:
 def parse_lines(lines: DataFrame, header: list[str]) -> DataFrame:
     """lines: row_id, value. All non-blank lines with the typed columns and reject_reason, which is null for good rows."""
     places = bind_header(header)
-    cut = lines.where(strip(F.col("value")) != "").withColumn("f", tokens(F.col("value")))
+    # a generator works each line out once; a plain projection would be copied into every use of its columns
+    lines = lines.where(strip(F.col("value")) != "").select("row_id", "value", F.explode(F.array(tokens(F.col("value")))).alias("f"))
     field = {n: F.get("f", F.lit(places[n])) for n in REQUIRED}
-    cut = cut.select("row_id", "value", (F.size("f") == len(header)).alias("arity"), *[field[n].alias(f"raw_{n}") for n in REQUIRED])
+    cut = lines.select("row_id", "value", (F.size("f") == len(header)).alias("arity"), *[field[n].alias(f"raw_{n}") for n in REQUIRED])
     year, month = month_parts(F.col("raw_month"))
     area = prefix_float(F.col("raw_floor_area_sqm"))
     lease, price = prefix_int(F.col("raw_lease_commence_date")), prefix_int(F.col("raw_resale_price"))
-    typed = cut.select("row_id", "value", "arity", *[f"raw_{n}" for n in REQUIRED], year.alias("month_year"), month.alias("month_month"), area.alias("area"), lease.alias("lease"), price.alias("price"))
+    parts = F.struct(year.alias("month_year"), month.alias("month_month"), area.alias("area"), lease.alias("lease"), price.alias("price"))
+    typed = cut.select("row_id", "value", "arity", *[f"raw_{n}" for n in REQUIRED], F.inline(F.array(parts)))
     empty = F.lit(False)
     for n in ("month", "floor_area_sqm", "lease_commence_date", "resale_price"):
         empty = empty | (F.col(f"raw_{n}") == "")
@@ -84,10 +89,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("row_id"), "value")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A transaction file, parsed; the first line is the header."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; in local mode only, one of our own where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{root or f'file://{tempfile.gettempdir()}/larkgrid-shared'}/{name}-{uuid.uuid4().hex}"
+
+
+def read_csv(spark: SparkSession, path: str, header: list[str] | None = None) -> DataFrame:
+    """A transaction file, parsed; the first line is the header. A folder of files without one needs `header`."""
     lines = read_lines(spark, path)
-    first = lines.select("row_id", "value", tokens(F.col("value")).alias("f")).orderBy("row_id").first()
+    if header:
+        return parse_lines(lines, header)
+    first = lines.orderBy("row_id").limit(1).select("row_id", "value", tokens(F.col("value")).alias("f")).first()
     if first is None or not first["value"].strip(" \t\r\n"):
         raise ValueError(f"no header line in {path}")
     names = [n.removeprefix("﻿") for n in first["f"]]
@@ -108,6 +123,29 @@ def read_csv_fast(spark: SparkSession, path: str) -> DataFrame:
     return typed.select("row_id", "month_year", "month_month", *TEXT_FIELDS, truncated(F.col("area")).alias("floor_area"), F.col("lease").cast("int").alias("lease_commence_date"), F.col("price").alias("resale_price"))
 
 
+def read_csv_lenient(spark: SparkSession, path: str) -> DataFrame:
+    """A second, independent reading for checks, by the rules of common CSV libraries. Good rows.
+
+    A quote is special at the start of a field only and a quoted field may hold line ends. Numbers must be
+    whole texts, areas are cut off in double precision; of the domains only that of the year is asked for.
+    """
+    header = spark.read.option("multiLine", True).option("escape", '"').csv(path).limit(1).first()
+    if header is None:
+        raise ValueError(f"no header line in {path}")
+    names = [(n or "").removeprefix("﻿").strip() for n in header]
+    places = bind_header(names)
+    fields = [f"f{i}" for i in range(len(names))]
+    schema = ", ".join(f"{f} string" for f in [*fields, "bad"])
+    raw = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").csv(path)
+    raw = raw.where("bad is null").select(F.monotonically_increasing_id().alias("row_id"), *[strip(F.coalesce(f"f{places[n]}", F.lit(""))).alias(f"raw_{n}") for n in REQUIRED])
+    whole = lambda n, kind="bigint": F.when(F.col(f"raw_{n}").rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(F.col(f"raw_{n}"), F.lit("_"), F.lit(""))).try_cast(kind)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring("raw_month", 1, 3))).cast("int")
+    year = F.when(F.substring("raw_month", 4, 1) == "-", F.substring("raw_month", 5, 20)).try_cast("int") + 2000
+    area = F.when(F.col("raw_floor_area_sqm").rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.col("raw_floor_area_sqm")).try_cast("double")
+    typed = raw.select("row_id", year.alias("month_year"), month.alias("month_month"), *[F.col(f"raw_{n}").alias(n) for n in TEXT_FIELDS], F.when(F.abs(area) < 2147483647, area.cast("int")).alias("floor_area"), whole("lease_commence_date", "int").alias("lease_commence_date"), whole("resale_price").alias("resale_price"))
+    return typed.where(F.col("month_year").between(*YEAR_RANGE) & (F.col("month_month") > 0) & F.col("floor_area").isNotNull() & F.col("lease_commence_date").isNotNull() & F.col("resale_price").isNotNull())
+
+
 def append(*frames: DataFrame) -> DataFrame:
     """Loads one after the other: later rows come after earlier ones in ties."""
     out = None
