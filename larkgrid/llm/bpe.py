@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from larkgrid.llm.common import table
+from larkgrid.llm.common import table, text_chunks
 
 #: Words that a task remembers, and bytes of text that it splits at once.
 KEEP_WORDS, CHUNK_BYTES = 600_000, 1 << 20
@@ -279,7 +279,10 @@ def read_vocabulary(path: str) -> str:
 
 
 def encode_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
-    """Per row: id, n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded text, or their digests if not full."""
+    """Per row: id, n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded text, or their digests if not full.
+
+    The id column keeps its name unless that is the name of another result column; then it is `id`.
+    """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -287,7 +290,7 @@ def encode_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value, True)
-        for b in batches:
+        for b in text_chunks(batches, 1):
             n, ids, texts = [], [], []
             for i, t in enc(x or "" for x in b.column(1).to_pylist()):
                 n.append(len(i) // 4)
@@ -295,7 +298,8 @@ def encode_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 texts.append(t.decode() if full else hashlib.sha256(t).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary() if full else pa.string()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids" if full else "ids_sha256", "decoded" if full else "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, {own}").withColumnRenamed("id", id_col)
+    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, {own}")
+    return out if id_col in out.columns else out.withColumnRenamed("id", id_col)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Packing of tokenised documents into fixed-length sequences by cutting-stock column generation.
 
 A document is cut into full sequences and a rest. How many pieces there are of each length, at most
-`CAPACITY` numbers, is all that the driver sees. There a linear program chooses how often to use each
-pattern (a multiset of lengths that fits a sequence): the master problem is solved by the revised
-simplex method, and its duals price new patterns by an unbounded knapsack, solved by dynamic
-programming over the capacity. The solution is rounded down; lengths that are left over, fewer than
-fit into as many sequences as there are patterns, are put together by the same knapsack, bounded by
-what is left. Pieces are ranked within their length and a piece's rank gives its sequence and place by
+`CAPACITY` numbers, is all that the driver sees. There a linear program over the histogram of lengths, in
+classes of GRAIN tokens, chooses how often to use each pattern (a multiset of classes that fits a sequence): the master problem is solved by the revised
+simplex method from patterns of one length each, and its duals price new patterns by an unbounded
+knapsack, solved by dynamic programming over the capacity, until the dual bound, or what the
+pieces fill in any case, says that no pattern can gain more than GAP. The solution is rounded down and each pattern is made of lengths that are there;
+what rounding to classes leaves free, the shortest piece gives way to a longer one for. Lengths that are
+left over are put together by a knapsack that is bounded by what is left. Pieces are ranked within their length and a piece's rank gives its sequence and place by
 arithmetic, in parallel: ranks are counted per task and length, and offsets of the tasks are summed up.
 
 Padding: a sequence is padded to the capacity unless its length is a power of two.
@@ -30,14 +31,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from larkgrid.llm.bpe import encoder, read_vocabulary
-from larkgrid.llm.common import cut, table
+from larkgrid.llm.common import cut, discard, light, table, text_chunks
 
 CAPACITY, CLOSING_ID = 1024, 0
-#: The linear program ends when it is this near to its bound, or after so many pivots. Either way the
-#: patterns that it has cover all lengths; only the padding could be a little more.
-GAP, MAX_PIVOTS = 5e-4, 1000
-#: Patterns that one pricing may add.
-POOL = 40
+#: The linear program ends when it is this near to its bound.
+GAP = 5e-4
+#: Tokens of a class of lengths.
+GRAIN = 8
+#: Patterns that one pricing may add, and pivots after which the basis is inverted afresh.
+POOL, FRESH = 10, 150
 
 
 def knapsack(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,59 +72,92 @@ def taken(last: np.ndarray, c: int) -> list[int]:
     return out
 
 
-def solve_patterns(demand: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
-    """Patterns with how often the linear program uses them. demand: how many pieces of each length."""
+@dataclass
+class Solution:
+    """Patterns with how often they are used; the dual bound; how far demand is missed, at most; pivots made."""
+
+    uses: list[tuple[tuple[int, ...], float]]
+    bound: float
+    error: float
+    pivots: int
+
+
+def solve_patterns(demand: dict[int, int], capacity: int) -> Solution:
+    """The linear program: as few sequences as possible that hold at least `demand` pieces of each length.
+
+    The basis starts with patterns of one length each. Demands are shifted a little, each by another
+    amount, so that no two rows tie and every pivot gains; the shift is taken back at the end.
+    """
     lengths = np.array(sorted(demand))
     m = len(lengths)
     if not m:
-        return []
+        return Solution([], 0.0, 0.0, 0)
     row = {int(x): i for i, x in enumerate(lengths)}
+    wanted = np.array([demand[int(x)] for x in lengths], dtype=float)
+    shifted = wanted * (1 + 1e-5 * np.random.default_rng(11).random(m))
+
     def column(p: tuple[int, ...]) -> np.ndarray:
         col = np.zeros(m)
         for q in p:
             col[row[q]] += 1
         return col
 
-    start = first_basis(demand, capacity)
-    patterns, x = [p for _, p, _ in start], np.array([k for _, _, k in start])
-    inverse = np.linalg.inv(np.stack([column(p) for p in patterns], axis=1))
+    patterns: list[tuple[int, ...] | None] = [(int(x),) * (capacity // int(x)) for x in lengths]  # None: a piece more than wanted
+    basis = np.diag(capacity // lengths).astype(float)
+    cost = np.ones(m)
+    inverse = np.diag(1 / (capacity // lengths))
+    x = inverse @ shifted
     pivots = 0
-    values = np.zeros(capacity + 1)
-    while pivots < MAX_PIVOTS:
-        y = inverse.sum(axis=0)
-        values[:] = 0
+
+    def enter(col: np.ndarray, p: tuple[int, ...] | None) -> None:
+        nonlocal inverse, x, pivots
+        way = inverse @ col
+        ratio = np.full(m, np.inf)
+        up = way > 1e-9
+        ratio[up] = x[up] / way[up]
+        r = int(ratio.argmin())
+        x = np.maximum(x - ratio[r] * way, 0)
+        x[r] = ratio[r]
+        pivot = inverse[r] / way[r]
+        inverse -= np.outer(way, pivot)
+        inverse[r] = pivot
+        basis[:, r], patterns[r], cost[r] = col, p, float(p is not None)
+        pivots += 1
+        if pivots % FRESH == 0:
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(inverse @ shifted, 0)
+
+    values, bound = np.zeros(capacity + 1), float(shifted @ lengths) / capacity  # no sequence holds more than the capacity
+    while True:
+        y = cost @ inverse
+        while y.min() < -1e-9:  # a length of which more pieces may be made than are wanted
+            col = np.zeros(m)
+            col[int(y.argmin())] = -1
+            enter(col, None)
+            y = cost @ inverse
         values[lengths] = np.maximum(y, 0)
         best, last = knapsack(values, capacity)
-        if best[capacity] <= 1 + 1e-9 or x.sum() * (1 - 1 / best[capacity]) <= GAP * x.sum():
+        bound = max(bound, float(shifted @ values[lengths]) / max(1.0, best[capacity]))
+        if cost @ x - bound <= GAP * bound:
             break
         # the best pattern that holds a length, for the lengths where that gains most
         gain = values[lengths] + best[capacity - lengths]
-        pool, seen = [], set()
+        pool = {}
         for i in np.argsort(-gain, kind="stable")[: 4 * POOL]:
-            p = tuple(sorted((int(lengths[i]), *taken(last, capacity - int(lengths[i])))))
-            if gain[i] > 1 + 1e-7 and p not in seen:
-                seen.add(p)
-                pool.append(p)
-            if len(pool) == POOL:
+            if gain[i] <= 1 + 1e-7 or len(pool) == POOL:
                 break
-        cols = np.stack([column(p) for p in pool])
-        while len(pool) and pivots < MAX_PIVOTS:
-            price = cols @ inverse.sum(axis=0)
+            p = tuple(sorted((int(lengths[i]), *taken(last, capacity - int(lengths[i])))))
+            pool.setdefault(p, column(p))
+        if not pool:
+            break
+        names, cols = list(pool), np.stack(list(pool.values()))
+        while (price := cols @ (cost @ inverse)).max() > 1 + 1e-7:
             k = int(price.argmax())
-            if price[k] <= 1 + 1e-7:
-                break
-            way = inverse @ cols[k]
-            ratio = np.where(way > 1e-10, x / np.where(way > 1e-10, way, 1), np.inf)
-            r = int(ratio.argmin())
-            step = ratio[r]
-            x = np.maximum(x - step * way, 0)
-            x[r] = step
-            pivot = inverse[r] / way[r]
-            inverse -= np.outer(way, pivot)
-            inverse[r] = pivot
-            patterns[r] = pool[k]
-            pivots += 1
-    return [(p, float(v)) for p, v in zip(patterns, x, strict=True) if v > 1e-9]
+            enter(cols[k], names[k])
+    inverse = np.linalg.inv(basis)
+    x = np.maximum(inverse @ wanted, 0)
+    error = float(np.abs(basis @ x - wanted).max())
+    return Solution([(p, float(v)) for p, v in zip(patterns, x, strict=True) if p and v > 1e-9], bound, error, pivots)
 
 
 def fullest(rest: dict[int, float], capacity: int) -> tuple[int, ...]:
@@ -152,32 +187,43 @@ def fullest(rest: dict[int, float], capacity: int) -> tuple[int, ...]:
     return tuple(sorted(pattern))
 
 
-def fill_rest(rest: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Patterns for single sequences that use up what rounding leaves."""
+def fill_rest(rest: dict[int, int], capacity: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Patterns, and how often, that use up what rounding leaves."""
     rest = {k: v for k, v in rest.items() if v}
-    out = []
     while rest:
-        out.append(p := fullest(rest, capacity))
+        p = fullest(rest, capacity)
+        times = min(rest[x] // p.count(x) for x in set(p))
+        yield p, times
         for x in p:
-            rest[x] -= 1
+            rest[x] -= times
             if not rest[x]:
                 del rest[x]
-    return out
 
 
-def first_basis(demand: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...], float]]:
-    """As many patterns as lengths, with their uses: each uses up one more length, which makes them a basis."""
-    rest = {k: float(v) for k, v in demand.items()}
-    out = []
-    while rest:
-        p = fullest(rest, capacity)
-        count = {x: p.count(x) for x in p}
-        k, up = min((rest[x] / c, x) for x, c in count.items())
-        for x, c in count.items():
-            rest[x] = max(rest[x] - k * c, 0.0)
-        del rest[up]
-        out.append((up, p, k))
-    return out
+def realise(classes: tuple[int, ...], times: int, rest: dict[int, int], capacity: int, grain: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """A pattern of classes as patterns of lengths that are left, up to `times` uses in all; takes them from rest."""
+    while times:
+        left, p = dict(rest), []
+        for c in sorted(classes, reverse=True):
+            own = [x for x in range(max(1, (c - 1) * grain + 1), c * grain + 1) if left.get(x)]
+            if not own:
+                return
+            p.append(max(own, key=lambda x: (left[x], x)))
+            left[p[-1]] -= 1
+        free = capacity - sum(p)
+        shortest = min(p)
+        for x in range(min(capacity, shortest + free), shortest, -1):
+            if left.get(x):
+                p[p.index(shortest)] = x
+                break
+        p.sort()
+        now = min(times, *(rest[x] // p.count(x) for x in set(p)))
+        if not now:
+            return
+        for x in p:
+            rest[x] -= now
+        times -= now
+        yield tuple(p), now
 
 
 @dataclass
@@ -211,15 +257,16 @@ def make_plan(demand: dict[int, int], capacity: int = CAPACITY) -> Plan:
     rest = dict(demand)
     if full := rest.pop(capacity, 0):
         use[(capacity,)] = full
-    for p, v in solve_patterns(rest, capacity):
-        # rounding down, and never more pieces than there are
-        k = min([int(v + 1e-6), *(rest[x] // p.count(x) for x in set(p))])
-        if k:
-            use[p] = use.get(p, 0) + k
-            for x in p:
-                rest[x] -= k
-    for p in fill_rest(rest, capacity):
-        use[p] = use.get(p, 0) + 1
+    grain = GRAIN if capacity % GRAIN == 0 else 1
+    classes: dict[int, int] = {}
+    for x, n in rest.items():
+        c = -(-x // grain)
+        classes[c] = classes.get(c, 0) + n
+    for p, v in sorted(solve_patterns(classes, capacity // grain).uses, key=lambda u: -u[1]):
+        for q, k in realise(p, int(v + 1e-6), rest, capacity, grain):
+            use[q] = use.get(q, 0) + k
+    for q, k in fill_rest(rest, capacity):
+        use[q] = use.get(q, 0) + k
     plan, first = Plan(capacity), 0
     ends, slots, count = {}, {}, {}
     for p, k in sorted(use.items(), key=lambda u: (-u[1], u[0])):
@@ -249,7 +296,7 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, capacity: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(spec.value), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for b in batches:
+        for b in text_chunks(batches, 1):
             of, rows = [], []
             for i, (ids, _) in enumerate(enc(x or "" for x in b.column(1).to_pylist())):
                 ids += closing
@@ -270,10 +317,11 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col
     pieces = cut(cut_documents(docs, vocabulary_path, capacity, id_col, text_col), "pieces")
     counts = cut(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "piece-counts")
     demand = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    plan = docs.sparkSession.sparkContext.broadcast(make_plan(demand, capacity))
+    plan = docs.sparkSession.sparkContext.broadcast(make_plan(demand, capacity))  # a few thousand patterns
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["task", "length"]).select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
+    offsets = cut(offsets, "piece-offsets")
+    ranked = pieces.join(light(offsets, 32 * offsets.count()), ["task", "length"]).select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
