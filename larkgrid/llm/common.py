@@ -37,9 +37,23 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larkgrid_path = path
+    _written.append(out)
     return out
 
 
+#: Tables written in this process that have not been deleted.
+_written: list[DataFrame] = []
+
+
+def written() -> int:
+    return len(_written)
+
+
+def discard_since(mark: int, keep: DataFrame) -> None:
+    """Deletes all tables written since `written()` gave mark, but `keep`: what a step needed that has been written in the end."""
+    discard(*(t for t in _written[mark:] if t is not keep))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing lazy refers to any more."""
     for t in tables:
@@ -49,6 +63,7 @@ def discard(*tables: DataFrame) -> None:
             conf = t.sparkSession._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+            _written[:] = [x for x in _written if x._larkgrid_path != path]
 
 
 #: Bytes that may be broadcast.

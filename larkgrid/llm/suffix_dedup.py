@@ -1,24 +1,28 @@
 """Removal of long repeated byte strings by external induced sorting of sampled suffixes.
 
-A string of LENGTH bytes is repeated if it starts at two places. Sorting every suffix of a corpus
-would need several times its size on disk, so suffixes are sampled so that each string of LENGTH
-bytes holds a sample, and the same one wherever it occurs: the suffix whose first SAMPLE bytes have
-the least hash of all that start in the string and fit into it (about one byte in a hundred is one).
-
-1. Samples are written with two hashes: of their first SAMPLE bytes and of all the bytes that a string
-   held by the sample can have (its context). Only samples whose first bytes occur twice go on, and
-   where the whole context occurs twice, all of its strings are repeated.
+A string of a given length is repeated if it starts at two places. Sorting every suffix of a corpus
+would need several times its size on disk, so suffixes are sampled so that each string of the least
+length asked for holds a sample, and the same one wherever it occurs: the suffix whose first k bytes
+have the least hash of all that start in the string and fit into it. Several lengths share one pass.
+
+1. Samples are written with a hash of their first k bytes and, for each length, a digest of all the bytes
+   that a string held by the sample can have (its context). Only samples whose first bytes occur twice go
+   on, and where a whole context occurs twice, all of its strings are repeated.
 2. One suffix of each context that is left is sorted, exactly and by its bytes, in a priority queue
    that spills sorted runs to disk, and common prefixes of neighbours are worked out as they leave it.
 3. Induction: from the order of the suffixes at i follows that of the suffixes at i - 1, by the byte
    there, and a neighbour's common prefix is one byte longer or the least of those passed over. A
-   suffix whose common prefix reaches LENGTH with either neighbour starts a repeated string. Suffixes
+   suffix whose common prefix reaches a length with either neighbour starts a repeated string. Suffixes
    that are alone in their class drop out. The bytes to the left are kept on disk for large classes.
 
-Tasks get the samples by the hash of their first bytes. A task's memory is bounded by its run size and
-a few numbers for each suffix of a class.
+Contexts are held equal if their first bytes' 64-bit hash and their 64-bit digest, by another function, are.
 
-Defined results: a null text counts as empty; texts shorter than LENGTH lose nothing; repeated rows
+Tasks get the samples by the hash of their first bytes. Two suffixes that hold a repeated string agree in
+half of the other bytes to the right or in half of those to the left; so a class of more than CLASS
+suffixes is dealt out twice, by the one and by the other half, which spreads common lines. A task's
+memory is bounded by its run size and a few numbers for each suffix of a class.
+
+Defined results: a null text counts as empty; texts shorter than a length lose nothing; repeated rows
 are copies of each other, so of all of them everything goes. Null and repeated ids are allowed.
 """
 
@@ -33,15 +37,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from larkgrid.llm.common import cut, discard, numbered, spill_dir, table
+from larkgrid.llm.common import BROADCAST_BYTES, cut, discard, light, numbered, spill_dir, table, text_chunks
 
-LENGTH, SAMPLE = 400, 200
+#: Length of the strings that the query removes; that of repeated passages (some 45 words, so that those of over 50 are caught whole); bytes of a sample's hash.
+LENGTH, PASSAGE, SAMPLE = 400, 240, 48
+#: Lengths have to be less than this.
+WIDE = 4096
+#: Suffixes of a class that one task gets.
+CLASS = 4096
 #: Window starts worked on at once, bytes of a sorted run, and suffixes whose left bytes stay in memory.
-CHUNK, RUN_BYTES, BLOCK = 1 << 20, 48 << 20, 30_000
+CHUNK, RUN_BYTES, BLOCK = 1 << 18, 32 << 20, 20_000
 POSITION_BITS = np.uint64(22)
 
 _rng = np.random.default_rng(15485863)
@@ -76,19 +86,21 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], forth[w - 1 : w - 1 + n])
 
 
-def samples(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of concatenated texts that end at `ends`: the number of the text, the place in it and both hashes of each sample."""
+def samples(data: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], k: int) -> Iterator[tuple]:
+    """Of concatenated texts that end at `ends`: the number of the text, the place in it, the hash of the first bytes and the digests of the contexts of each sample."""
     starts = np.concatenate([[0], ends[:-1]])
+    length = min(lengths)
     w = length - k + 1
     known = np.zeros(0, dtype=np.int64)
+    whole = memoryview(np.ascontiguousarray(data))
     for lo in range(0, max(0, len(data) - length + 1), CHUNK):
         hi = min(lo + CHUNK, len(data) - length + 1)  # strings that start from lo to hi
-        a, b = max(0, lo - length), min(len(data), hi + 2 * length)
-        part = data[a:b]
+        part = data[lo : min(len(data), hi + length)]
         up, down = powers(len(part))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(LETTERS[part] * up[: len(part)], dtype=np.uint64)])
-        head = scramble((sums[lo - a + k : hi - a + w - 1 + k] - sums[lo - a : hi - a + w - 1]) * down[lo - a : hi - a + w - 1])
-        order = head >> POSITION_BITS << POSITION_BITS | np.arange(len(head), dtype=np.uint64)
+        n = hi - lo + w - 1
+        head = scramble((sums[k : n + k] - sums[:n]) * down[:n])
+        order = head >> POSITION_BITS << POSITION_BITS | np.arange(n, dtype=np.uint64)
         least = sliding_least(order, w)
         begin = np.arange(lo, hi)
         text = np.searchsorted(ends, begin, side="right")
@@ -100,10 +112,13 @@ def samples(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> Iterator
         first, where = head[at], at + lo
         known = np.concatenate([known, where])[-2 * length :]
         text = np.searchsorted(ends, where, side="right")
-        left, right = np.minimum(length - k, where - starts[text]), np.minimum(length, ends[text] - where)
-        i, j = where - left - a, where + right - a
-        whole = scramble(scramble((sums[j] - sums[i]) * down[i]) + left.astype(np.uint64) * np.uint64(1009) + right.astype(np.uint64))
-        yield text, where - starts[text], first.view(np.int64), whole.view(np.int64)
+        digests = []
+        for x in lengths:
+            left, right = np.minimum(x - k, where - starts[text]), np.minimum(x, ends[text] - where)
+            seeds = (left * WIDE + right).tolist()
+            i, j = (where - left).tolist(), (where + right).tolist()
+            digests.append(np.array([xxhash.xxh3_64_intdigest(whole[p:q], seed) for p, q, seed in zip(i, j, seeds, strict=True)], dtype=np.uint64).view(np.int64))
+        yield text, where - starts[text], first.view(np.int64), digests
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,29 +176,34 @@ def common(a: bytes, b: bytes) -> int:
     return lo
 
 
-def induce(prefix: np.ndarray, left: np.ndarray, left_n: np.ndarray, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From sorted suffixes to those up to length - k bytes before them.
+def induce(prefix: np.ndarray, left: np.ndarray, left_n: np.ndarray, lengths: tuple[int, ...], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """From sorted suffixes to those up to the greatest length - k bytes before them.
 
     prefix: common prefix with the suffix before, 0 at the start of a class; left: the bytes before
-    each suffix, nearest first. Yields (suffix, least, greatest number of bytes before it) of
-    suffixes that start repeated strings.
+    each suffix, nearest first. Yields (number of the length, suffix, least, greatest number of bytes
+    before it) of suffixes that start repeated strings.
     """
     n = len(prefix)
     now = np.arange(n)
     shared = np.append(prefix.astype(np.int64), 0)
     group = np.cumsum(prefix < k)
-    since = np.full(n, -1)
-    for o in range(length - k + 1):
+    since = np.full((len(lengths), n), -1)
+    most = max(lengths) - k
+    for o in range(most + 1):
         longest = np.maximum(shared[:-1], shared[1:])
-        repeated = np.zeros(n, dtype=bool)
-        repeated[now[longest >= length - o]] = True
-        begun = repeated & (since < 0)
-        over = np.flatnonzero(~repeated & (since >= 0))
-        if len(over):
-            yield over, since[over], np.full(len(over), o - 1)
-            since[over] = -1
-        since[begun] = o
-        if o == length - k or not len(now):
+        for level, length in enumerate(lengths):
+            if o > length - k + 1:
+                continue
+            repeated = np.zeros(n, dtype=bool)
+            if o <= length - k:
+                repeated[now[longest >= length - o]] = True
+            begun = since[level]
+            over = np.flatnonzero(~repeated & (begun >= 0))
+            if len(over):
+                yield level, over, begun[over], np.full(len(over), o - 1)
+                begun[over] = -1
+            begun[repeated & (begun < 0)] = o
+        if o == most or not len(now):
             break
         has = np.flatnonzero(left_n[now] > o)
         key = group[has] * 256 + left[now[has], o]
@@ -205,9 +225,10 @@ def induce(prefix: np.ndarray, left: np.ndarray, left_n: np.ndarray, length: int
         start = ~linked[:-1][stay]
         now, group = now[place][stay], np.cumsum(start)
         shared = np.append(new[:-1][stay], 0)
-    over = np.flatnonzero(since >= 0)
-    if len(over):
-        yield over, since[over], np.full(len(over), length - k)
+    for level, length in enumerate(lengths):
+        over = np.flatnonzero(since[level] >= 0)
+        if len(over):
+            yield level, over, since[level][over], np.full(len(over), length - k)
 
 
 def sorted_classes(queue: DiskQueue, k: int, length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -271,80 +292,118 @@ class _Stacked:
         return out
 
 
-def repeated_strings(docs: DataFrame, length: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): the texts as id, mark, text, and by (id, mark) the spans that repeated strings cover, unsorted.
+def repeated_strings(docs: DataFrame, lengths: tuple[int, ...], k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, spans): the texts as id, mark, text, and by (id, mark) the maximal runs (level, begin, end) that repeated strings cover.
 
-    mark is a digest of the text; it tells rows of one id apart.
+    mark is a digest of the text; it tells rows of one id apart. level: the number of the length.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
+    key, wholes_of = f"id {kind}, mark bigint", [f"whole{i}" for i in range(len(lengths))]
+    short, long = min(lengths), max(lengths)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_chunks(batches, 2):
             data, ends = bytes_of(b.column(2))
-            for of, at, first, whole in samples(data, ends, length, k):
+            for of, at, first, digests in samples(data, ends, lengths, k):
+                n = np.diff(np.concatenate([[0], ends]))[of]
                 of = pa.array(of)
-                n = np.diff(np.concatenate([[0], ends]))[of.to_numpy()]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(first), pa.array(whole)], ["id", "mark", "at", "n", "first", "whole"])
-
-    key = f"id {kind}, mark bigint"
-    sampled = cut(rows.mapInArrow(sample, f"{key}, at bigint, n bigint, first bigint, whole bigint"), "samples")
-    firsts = sampled.groupBy("first").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("c > 1")
-    firsts = cut(firsts, "firsts")  # written, so that hot keys of the join can be split
-    twice = cut(sampled.join(firsts.select("first", (F.col("lo") != F.col("hi")).alias("several")), "first"), "twice")
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(at * WIDE + np.minimum(n - at, WIDE - 1)), pa.array(first), *map(pa.array, digests)], ["id", "mark", "place", "first", *wholes_of])
+
+    # place: where a sample is, and how many bytes follow
+    sampled = cut(rows.mapInArrow(sample, f"{key}, place bigint, first bigint, " + ", ".join(f"{w} bigint" for w in wholes_of)), "samples")
+    at, right = F.shiftright("place", WIDE.bit_length() - 1), F.pmod("place", F.lit(WIDE))
+    firsts = cut(sampled.groupBy("first").agg(F.count("*").alias("c")).where("c > 1"), "firsts")  # written, so that hot keys of the join can be split
+    twice = cut(sampled.join(firsts, "first"), "twice")
     discard(sampled, firsts)
 
-    # contexts that occur twice: every string in them is repeated
-    wholes = twice.groupBy("first", "whole", "several").agg(F.count("*").alias("c"), F.min(F.struct("mark", "id", "at")).alias("one"))
-    wholes = cut(wholes, "contexts")
-    begin, end = F.greatest(F.col("at") - (length - k), F.lit(0)), F.least(F.col("at"), F.col("n") - length) + length
-    sure = twice.join(wholes.where("c > 1").select("first", "whole"), ["first", "whole"]).select("id", "mark", begin.alias("begin"), end.alias("end"))
+    # contexts that occur twice: every string in them is repeated. Rows of a hot key are salted by its count
+    parts = F.ceil(F.col("c") / CLASS).cast("int")
+    sure, widest = None, None
+    written = []
+    for level, length in enumerate(lengths):
+        w = wholes_of[level]
+        found = twice.groupBy("first", F.col(w).alias("whole"), "c").agg(F.count("*").alias("times"), F.min(F.struct("mark", "id", "place")).alias("one"))
+        found = cut(found, "contexts")
+        written.append(found)
+        widest = found if length == long else widest
+        pairs = cut(found.where("times > 1").select("first", F.col("whole").alias(w), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")), "sure")
+        written.append(pairs)
+        salted = twice.withColumn("salt", F.pmod(F.xxhash64("mark", "place"), parts).cast("int"))
+        begin, end = F.greatest(at - (length - k), F.lit(0)), at + F.least(F.lit(length), right)
+        pairs = F.broadcast(pairs) if 20 * pairs.count() <= BROADCAST_BYTES else pairs
+        spans = salted.join(pairs, ["first", w, "salt"]).where(end - begin >= length).select("id", "mark", F.lit(level).alias("level"), begin.alias("begin"), end.alias("end"))
+        sure = spans if sure is None else sure.union(spans)
 
     # one suffix of each other context, with its bytes
-    wanted = wholes.where("several").select("one.*", "first").groupBy("id", "mark").agg(F.collect_list(F.struct("at", "first")).alias("ats"))
-    wanted = wanted.select(F.col("id").alias("wid"), F.col("mark").alias("wmark"), "ats").hint("shuffle_hash")
-    chosen = rows.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))).select("id", "mark", "text", "ats")
+    classes = cut(widest.groupBy("first").agg(F.count("*").alias("m")).where("m > 1"), "classes")
+    wanted = widest.join(light(classes, 24 * classes.count()), "first").withColumn("place", F.col("one.place"))
+    wanted = cut(wanted.select("one.id", "one.mark", (at * 2 + (F.col("m") > CLASS).cast("int")).alias("at")), "wanted")
+    lists = cut(wanted.groupBy(F.col("id").alias("wid"), F.col("mark").alias("wmark")).agg(F.collect_list("at").alias("ats")), "wanted")
+    written += [classes, wanted, lists]
+    size = lists.agg(F.sum(F.size("ats") * 8 + 48)).first()[0] or 0
+    chosen = rows.join(light(lists, size), F.col("id").eqNullSafe(F.col("wid")) & (F.col("mark") == F.col("wmark"))).select("id", "mark", "text", "ats")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        seen = set()  # equal rows: one is enough. Few numbers for each text that has samples
+        for b in text_chunks(batches, 2):
             texts = b.column(2).cast(pa.large_binary())
             for i in range(len(b)):
+                own = (str(b.column(0)[i]), b.column(1)[i].as_py())
+                if own in seen:
+                    continue
+                seen.add(own)
                 t, ats = texts[i].as_py(), b.column(3)[i].as_py()
                 for s in range(0, len(ats), 4096):
-                    some = ats[s : s + 4096]
+                    some = [(x >> 1, bool(x & 1)) for x in ats[s : s + 4096]]
                     of = pa.array([i] * len(some))
+                    classes = np.array([xxhash.xxh3_64_intdigest(t[x : x + k]) for x, _ in some], dtype=np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(of), b.column(1).take(of), pa.array([x["at"] for x in some], pa.int64()), pa.array([x["first"] for x in some], pa.int64()), pa.array([t[max(0, x["at"] - length + k) : x["at"]][::-1] for x in some], pa.binary()), pa.array([t[x["at"] : x["at"] + length] for x in some], pa.binary())],
-                        ["id", "mark", "at", "first", "before", "after"],
+                        [
+                            b.column(0).take(of), b.column(1).take(of), pa.array([x for x, _ in some], pa.int64()), pa.array(classes), pa.array([large for _, large in some], pa.bool_()),
+                            pa.array([t[max(0, x - long + k) : x][::-1] for x, _ in some], pa.binary()), pa.array([t[x : x + long] for x, _ in some], pa.binary()),
+                        ],
+                        ["id", "mark", "at", "class", "large", "before", "after"],
                     )
 
-    suffixes = chosen.mapInArrow(contexts, f"{key}, at bigint, first bigint, before binary, after binary").repartition("first")
+    half = (short - k + 1) // 2
+    ways = F.array(F.xxhash64("class", F.substring("after", k + 1, half)), F.xxhash64("class", F.lit("left"), F.substring("before", 1, half)))
+    suffixes = chosen.mapInArrow(contexts, f"{key}, at bigint, class bigint, large boolean, before binary, after binary")
+    suffixes = suffixes.select("id", "mark", "at", "before", "after", F.explode(F.when(F.col("large"), ways).otherwise(F.array("class"))).alias("class")).repartition("class")
 
     def induction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queue = DiskQueue()
+        try:
+            for b in batches:
+                cols = [c.to_pylist() for c in b.columns]
+                for i, mark, at, before, after, own in zip(*cols, strict=True):
+                    queue.push((own, after, before, (mark, at, i)), len(after) + len(before))
+            for keys, prefix, left, left_n in sorted_classes(queue, k, long):
+                for level, which, least, most in induce(prefix, left, left_n, lengths, k):
+                    got = [keys[x] for x in which.tolist()]
+                    at = np.array([x[1] for x in got], dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in got], id_type), pa.array([x[0] for x in got], pa.int64()), pa.array([level] * len(got), pa.int32()), pa.array(at - most), pa.array(at - least + lengths[level])], ["id", "mark", "level", "begin", "end"])
+        finally:
+            queue.close()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for i, mark, at, first, before, after in zip(*cols, strict=True):
-                queue.push((first, after, before, (mark, at, i)), len(after) + len(before))
-        for keys, prefix, left, left_n in sorted_classes(queue, k, length):
-            for which, least, most in induce(prefix, left, left_n, length, k):
-                got = [keys[x] for x in which.tolist()]
-                at = np.array([x[1] for x in got], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in got], id_type), pa.array([x[0] for x in got], pa.int64()), pa.array(at - most), pa.array(at - least + length)], ["id", "mark", "begin", "end"])
+            out = [[{"level": level, "begin": x, "end": y} for level in range(len(lengths)) for x, y in merged(s, level)] for s in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("level", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])))], ["id", "mark", "spans"])
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    induced = suffixes.mapInArrow(induction, f"{key}, begin bigint, end bigint")
-    spans = sure.union(induced).groupBy("id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    spans = cut(spans, "spans")
-    discard(twice, wholes)
+    induced = suffixes.mapInArrow(induction, f"{key}, level int, begin bigint, end bigint")
+    spans = sure.union(induced).groupBy("id", "mark").agg(F.collect_set(F.struct("level", "begin", "end")).alias("spans"))
+    spans = cut(spans.mapInArrow(runs, f"{key}, spans array<struct<level:int,begin:bigint,end:bigint>>"), "spans")
+    discard(twice, *written)
     return rows, spans
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs that spans cover."""
+def merged(spans: list[dict] | None, level: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs that spans of a level cover."""
     out: list[list[int]] = []
-    for b, e in sorted((s["begin"], s["end"]) for s in spans or ()):
+    for b, e in sorted((s["begin"], s["end"]) for s in spans or () if s["level"] == level):
         if out and b <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -361,21 +420,22 @@ def remaining(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """rows with their spans (null if none). Texts are only hashed to their ids, which are as even as rows are."""
-    known = spans.select(F.col("id").alias("sid"), F.col("mark").alias("smark"), "spans").hint("shuffle_hash")
+    """rows with their spans (null if none). Beyond a small table of spans, texts are hashed to their ids, which are as even as rows are."""
+    size = spans.agg(F.sum(F.size("spans") * 32 + 64)).first()[0] or 0
+    known = light(spans.select(F.col("id").alias("sid"), F.col("mark").alias("smark"), "spans"), size)
     return rows.join(known, F.col("id").eqNullSafe(F.col("sid")) & (F.col("mark") == F.col("smark")), "left").drop("sid", "smark")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated strings cut out of their texts; letters that a cut splits go as well. n_chars follows, if there is one."""
-    _, spans = repeated_strings(docs, length, k, id_col, text_col)
+    _, spans = repeated_strings(docs, (length,), k, id_col, text_col)
     plain = numbered(docs)
     at, names = docs.columns.index(text_col), plain.columns
     rows = plain.select("*", F.col(f"_c{docs.columns.index(id_col)}").alias("id"), F.xxhash64(F.coalesce(F.col(f"_c{at}"), F.lit(""))).alias("mark"))
     joined = with_spans(rows, spans).drop("id", "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_chunks(batches, at):
             texts = [t if t is None or not s else remaining(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
             cols = [pa.array(texts, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -388,19 +448,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE, id_co
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes, removed bytes and runs, and the digest of what is left."""
+    """Every document's bytes, removed bytes and runs, and the digest of what is left.
+
+    passage_bytes and n_passages, beyond that: bytes and runs that shorter repeats, of PASSAGE bytes or more, cover.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows, spans = repeated_strings(docs, LENGTH, SAMPLE, "doc_id", "text")
+    rows, spans = repeated_strings(docs, (LENGTH, PASSAGE), SAMPLE, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_chunks(batches, 2):
             out = []
             texts = b.column(2).cast(pa.large_binary())
             for i, s in enumerate(b.column(3).to_pylist()):
-                t, runs = texts[i].as_py(), merged(s)
-                out.append((len(t), sum(e - x for x, e in runs), len(runs), hashlib.sha256(remaining(t, runs)).hexdigest()))
-            n, gone, k, digest = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                t, runs, passages = texts[i].as_py(), merged(s), merged(s, 1)
+                out.append((len(t), sum(e - x for x, e in runs), len(runs), sum(e - x for x, e in passages), len(passages), hashlib.sha256(remaining(t, runs)).hexdigest()))
+            *counts, digest = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "passage_bytes", "n_passages", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(rows, spans).mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", "doc_id")
+    return with_spans(rows, spans).mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, passage_bytes bigint, n_passages bigint, kept_sha256 string").withColumnRenamed("id", "doc_id")
