@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values of a dictionary at most.
+MOST = 1 << 16
+
 
 def build(rows: DataFrame, column: str, order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """value, id. Values are summed up first, so only distinct ones are ordered."""
+    """value, id. Values are summed up first, so only distinct ones are ordered, MOST of them at most: ids have 16 bits. More are an error."""
     first = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select("value", (F.row_number().over(Window.orderBy("first")) - 1).cast("int").alias("id"))
+    number = F.row_number().over(Window.orderBy("first"))
+    numbered = first.limit(MOST + 1).select("value", number.alias("number"))
+    full = F.raise_error(F.lit("too many values for a dictionary")).cast("int")
+    return numbered.select("value", F.when(F.col("number") > MOST, full).otherwise((F.col("number") - 1).cast("int")).alias("id"))
 
 
 def encode(rows: DataFrame, dictionary: DataFrame, column: str) -> DataFrame:
