@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,26 +28,25 @@ from larkgrid.llm.common import cut, discard, table
 
 #: Bits of a filter for each key in it, and hash functions; about one key in a hundred passes wrongly.
 BITS_PER_KEY, HASHES = 10, 7
-#: A filter travels inside the plan; lists that need a larger one are joined instead.
-MAX_FILTER_BITS = 1 << 23
+#: Far more levels than filters that err once in a hundred can need.
 MAX_LEVELS = 64
 
 #: The rules of the query.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
-@dataclass(frozen=True)
 class Level:
-    bits: int
-    words: tuple[int, ...]
-    seed: int
+    """One filter: its bits as bytes, the lowest bit of a byte first."""
+
+    def __init__(self, bits: int, data: bytes, seed: int):
+        self.bits, self.seed, self.data = bits, seed, F.lit(data)
 
     def has(self, key: Column) -> Column:
         """Whether all bits of the key are set."""
-        words = F.lit(list(self.words)).cast("array<bigint>")
         found = None
         for pos in positions(key, self.bits, self.seed):
-            bit = F.getbit(F.element_at(words, (F.shiftright(pos, 6) + 1).cast("int")), F.pmod(pos, F.lit(64)).cast("int")) == 1
+            byte = F.conv(F.hex(F.substr(self.data, (F.shiftright(pos, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            bit = F.getbit(byte, F.pmod(pos, F.lit(8)).cast("int")) == 1
             found = bit if found is None else found & bit
         return found
 
@@ -62,15 +61,14 @@ def filter_of(keys: DataFrame, n: int, seed: int) -> Level:
     """The Bloom filter of a column `key`: words are or-ed on the executors, only they come back."""
     bits = max(64, 1 << math.ceil(math.log2(max(1, n) * BITS_PER_KEY)))
     pos = keys.select(F.explode(F.array(*positions(F.col("key"), bits, seed))).alias("pos"))
-    rows = pos.groupBy(F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")).alias("v"))
-    words = [0] * (bits // 64)
-    for r in rows.collect():  # at most bits / 64 rows
-        words[r["w"]] = r["v"]
-    return Level(bits, tuple(words), seed)
+    rows = pos.groupBy(F.shiftright("pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")).alias("v")).toArrow()  # at most bits / 64 rows
+    words = np.zeros(bits // 64, dtype="<i8")
+    words[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
+    return Level(bits, words.tobytes(), seed)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, seed: int) -> list[Level] | None:
-    """Filters that tell keys of `listed` from all others in `universe`; None if one would be too large.
+def build_cascade(listed: DataFrame, universe: DataFrame, seed: int) -> list[Level]:
+    """Filters that tell keys of `listed` from all others in `universe`.
 
     Both have a column `key`. Only keys that pass the first filter are ever gathered, so what is
     written is about the list plus a hundredth of the universe.
@@ -78,26 +76,20 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int) -> list[Lev
     n = listed.count()
     if not n:
         return []
-    if n * BITS_PER_KEY > MAX_FILTER_BITS // 2:
-        return None
     levels = [filter_of(listed, n, seed)]
     wrong = cut(universe.where(levels[0].has(F.col("key"))).distinct().join(listed, "key", "left_anti"), "cascade")
     inside, outside = listed, wrong  # what the newest filter holds, and what must not pass it
-    held = [wrong]
-    while len(levels) < MAX_LEVELS:
-        n = outside.where(levels[-1].has(F.col("key"))).count() if len(levels) > 1 else outside.count()
+    while True:
+        passed = outside.where(levels[-1].has(F.col("key"))) if len(levels) > 1 else outside
+        n = passed.count()
         if not n:
             break
-        if n * BITS_PER_KEY > MAX_FILTER_BITS // 2:
-            discard(*held)
-            return None
-        passed = outside.where(levels[-1].has(F.col("key"))) if len(levels) > 1 else outside
+        if len(levels) == MAX_LEVELS:
+            raise RuntimeError("filters of a cascade do not tell the keys apart")
         level = filter_of(passed, n, seed + len(levels))
         inside, outside = passed, inside
         levels.append(level)
-    else:
-        levels = None
-    discard(*held)
+    discard(wrong)
     return levels
 
 
@@ -143,24 +135,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     universe = parts.select(F.explode(keys).alias("key"))
     block = build_cascade(rules.where("block").select("key"), universe, 1000)
     allow = build_cascade(rules.where("not block").select("key"), universe, 2000)
-    if block is None or allow is None:
-        return _judge_by_join(parts, keys, rules, default)
     blocked = lambda k: member(k, block) if block else F.lit(False)
     allowed = lambda k: member(k, allow) if allow else F.lit(False)
     entry = lambda k, block: F.struct(F.length(k).alias("len"), F.lit(block).alias("block"), k.alias("key"))
     best = F.array_max(F.transform(keys, lambda k: F.when(blocked(k), entry(k, True)).when(allowed(k), entry(k, False))))
-    judged = parts.withColumn("_best", best)
-    verdict = F.when(F.col("_best").isNull(), F.lit(default)).when(F.col("_best.block"), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(*parts.columns, F.col("_best.key").alias("rule"), verdict.alias("verdict"))
-
-
-def _judge_by_join(parts: DataFrame, keys: Column, rules: DataFrame, default: str) -> DataFrame:
-    """For lists beyond MAX_FILTER_BITS: the same answer from a shuffled join of distinct keys."""
-    hosts = parts.select("host", "path").distinct().withColumn("key", F.explode(keys))
-    best = F.max_by(F.struct("key", "block"), F.struct(F.length("key"), F.col("block")))
-    won = hosts.join(rules, "key").groupBy("host", "path").agg(best.alias("best"))
-    verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.block"), F.lit("block")).otherwise(F.lit("allow"))
-    return parts.join(won, ["host", "path"], "left").select(*parts.columns, F.col("best.key").alias("rule"), verdict.alias("verdict"))
+    own = "_best" + "_" * max(map(len, parts.columns))  # no input column has this name
+    verdict = F.when(F.col(own).isNull(), F.lit(default)).when(F.col(own)["block"], F.lit("block")).otherwise(F.lit("allow"))
+    return parts.withColumn(own, best).select(*parts.columns, F.col(own)["key"].alias("rule"), verdict.alias("verdict"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
