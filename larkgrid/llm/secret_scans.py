@@ -18,6 +18,8 @@ input are kept by `scan_secrets` unless a result column has the same name.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +37,44 @@ HEX_LONG = r"[0-9a-f]{24,}"
 #: Weak parts: 40 letters of base64 with no letter of it on either side, and addresses.
 WEAK_TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?"
+#: Matches of a text that are gone over at once.
+BLOCK = 64
 #: Code points between two parts of one credential, at most; also the size of a scope.
 REACH = 200
 
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, begin: Column, after: Callable, emit: Callable, kind: str) -> Column:
+    """emit(state, x) for each x of an array, state being begin, then after(state, x) of the one before.
+
+    An array that grows in a fold is copied at each step, so folds go over blocks of BLOCK and over the blocks.
+    """
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    fold = lambda block, state: F.aggregate(block, state, after)
+
+    def whole(xs: Column) -> Column:
+        count = F.ceil(F.size(xs) / BLOCK).cast("int")
+        blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(xs, i * BLOCK + 1, BLOCK)))
+        return let(blocks, by_blocks)
+
+    def by_blocks(blocks: Column) -> Column:
+        start = F.struct(begin.alias("at"), empty("bigint").alias("out"))
+        states = F.aggregate(blocks, start, lambda acc, b: F.struct(fold(b, acc["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), states.alias("state")), lambda z: one(z["block"], z["state"])))
+
+    def one(block: Column, state: Column) -> Column:
+        start = F.struct(state.alias("at"), empty(kind).alias("out"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(after(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+
+    return F.coalesce(let(items, whole), empty(kind))
+
+
 def spans_of(text: Column, pattern: str, kind: int, least: Column | None = None) -> Column:
     """All leftmost non-overlapping matches as (start, kind, end); `least`: which of them to keep.
 
@@ -49,16 +83,9 @@ def spans_of(text: Column, pattern: str, kind: int, least: Column | None = None)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("bigint"))
     lengths = F.transform(matches, lambda m: F.length(m).cast("bigint"))
-    steps = F.arrays_zip(pieces.alias("gap"), lengths.alias("len"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["len"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    steps = F.slice(F.arrays_zip(pieces.alias("gap"), lengths.alias("len")), F.lit(1), F.size(matches))  # the last piece has no match after it
+    emit = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["len"]).alias("end"))
+    found = running(steps, F.lit(0).cast("bigint"), lambda at, x: at + x["gap"] + x["len"], emit, SPAN)
     if least is not None:
         found = F.transform(F.filter(F.arrays_zip(found.alias("s"), least.alias("ok")), lambda x: x["ok"]), lambda x: x["s"])
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
@@ -80,19 +107,24 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = REACH, keep: Sequence[str] | None = None) -> DataFrame:
     """Adds base (the base spans) and linked (reported weak candidates) to every row.
 
+    keep: columns of the input that stay, all if not given. Without the text among them, texts are read once
+    and spans are written; else they are read again for the result.
     Only rows with both a weak candidate and a part that could complete it take part in the join;
     they are keyed by the digest of their text, which makes equal texts one row of it.
     """
     names = {"base", "linked", "_key"}
-    keep = [c for c in docs.columns if c not in names]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(*keep, F.concat(*base_spans(text)).alias("base"))
+    found = docs.select(*keep, F.concat(*base_spans(text)).alias("base"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
+    text = F.coalesce(F.col(text_col if text_col in keep else "_text"), F.lit(""))
     ids = lambda s: s["kind"] == 1
     weak = F.when(F.exists("base", ids), F.concat(_no_overlap(spans_of(text, WEAK_TOKEN, 3)), _no_overlap(spans_of(text, ENDPOINT, 4))))
     found = found.withColumn("_weak", weak).withColumn("_key", F.when(F.size("_weak") > 0, F.sha2(text, 256)))
+    if text_col not in keep:
+        found = cut(found.drop("_text"), "secret-spans")
     parts = found.where("_key is not null").select("_key", F.explode(F.concat("base", "_weak")).alias("s")).select("_key", "s.*").distinct()
     linked = link_parts(cut(parts, "secret-parts"), reach)
     # rows without a candidate get keys of their own, which spreads them; they match nothing
@@ -131,24 +163,16 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
     plain = numbered(docs)
     scanned = scan_secrets(plain, text)
     spans = F.array_sort(F.concat("base", "linked"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.lit(1 << 30)))
-
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(F.col(text))
+    gap = lambda at, s: F.substr(F.col(text), (at + 1).cast("int"), F.greatest(s["start"] - at, F.lit(0)).cast("int"))
+    parts = running(spans, F.lit(0).cast("bigint"), lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.when(s["start"] >= at, F.concat(gap(at, s), F.lit(mark))).otherwise(F.lit("")), "string")
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    clean = F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), F.substr(F.col(text), (last + 1).cast("int"), F.lit(1 << 30)))).otherwise(F.col(text))
     return scanned.withColumn(text, clean).select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its counts of base spans, their digest, and all spans."""
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select(
         "doc_id",
