@@ -159,7 +159,7 @@ def viterbi(scores: np.ndarray, ends: np.ndarray, switch: float) -> np.ndarray:
     hard = hard[np.argsort(-sizes[hard], kind="stable")]
     if len(hard):
         h_start, h_size = starts[hard], sizes[hard]
-        back = np.zeros((int(h_size.sum()), k), dtype=np.int8)
+        back = np.zeros((int(h_size.sum()), k), dtype=np.min_scalar_type(k))
         row0 = np.concatenate([[0], np.cumsum(h_size)[:-1]])
         value = scores[h_start].copy()
         live = len(hard)
@@ -203,7 +203,10 @@ def label(model: Model, texts: pa.Array) -> list[tuple[str, float, list[dict]]]:
 
 
 def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
-    """Per row: id, lang_pred, score and the spans (word numbers from 0, split at white space)."""
+    """Per row: id, lang_pred, score and the spans (word numbers from 0, split at white space).
+
+    The id column keeps its name unless that is the name of another result column; then it is `id`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each language
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("lang", pa.string())]))
@@ -215,7 +218,8 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[2] for x in got], span)] if spans else cols, ["id", "lang_pred", "score", "spans"][: 4 if spans else 3])
 
     more = ", spans array<struct<first_word:int,last_word:int,lang:string>>" if spans else ""
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double{more}").withColumnRenamed("id", id_col)
+    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double{more}")
+    return out if id_col in out.columns else out.withColumnRenamed("id", id_col)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +228,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.where((split_mod4() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN).distinct()
     picked = cut(sample, "languages")
-    rows = known.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # TRAIN rows at most
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("one")  # of several rows of one id, one
+    rows = known.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "lang").agg(one).select(F.col("one.t").alias("text"), "lang")  # TRAIN rows at most
     model = train(rows, "text", "lang")
     out = label_languages(docs, model, spans=False)
     return out.select("doc_id", (split_mod4() == 2).alias("held_out"), "lang_pred", "score")
