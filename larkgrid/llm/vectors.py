@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "n int, dim int, ids binary, data binary"
+#: Entries that a task holds.
+KEEP = 2_000_000
 FOUND = "query_id bigint, ids array<bigint>, scores array<double>"
 
 
@@ -40,30 +42,46 @@ def by_dimension(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray,
 
 
 def block_rows(parts: list[tuple[list[int], np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    """parts: leading integers, ids and matrix of each block."""
+    """parts: leading integers, ids and matrix of each block. Data is in single precision where that loses nothing."""
     lead = [pa.array([p[0][i] for p in parts], pa.int64()) for i in range(len(names))]
-    cols = [pa.array([len(p[1]) for p in parts], pa.int32()), pa.array([p[2].shape[1] for p in parts], pa.int32()), pa.array([p[1].tobytes() for p in parts], pa.binary()), pa.array([np.ascontiguousarray(p[2], dtype=np.float64).tobytes() for p in parts], pa.binary())]
+    data = []
+    for *_, mat in parts:
+        single = mat.astype(np.float32)
+        data.append((single if (single == mat).all() else np.ascontiguousarray(mat, dtype=np.float64)).tobytes())
+    cols = [pa.array([len(p[1]) for p in parts], pa.int32()), pa.array([p[2].shape[1] for p in parts], pa.int32()), pa.array([p[1].tobytes() for p in parts], pa.binary()), pa.array(data, pa.binary())]
     return pa.RecordBatch.from_arrays([*lead, *cols], [*names, "n", "dim", "ids", "data"])
 
 
-def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vec) as blocks of at most `size`."""
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix, in double precision."""
+    kind = np.float64 if len(row["data"]) == 8 * row["n"] * row["dim"] else np.float32
+    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["data"], dtype=kind).astype(np.float64).reshape(row["n"], row["dim"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, mat in by_dimension(b.column(0), b.column(1)):
-                for s in range(0, len(ids), size):
-                    yield block_rows([([], ids[s : s + size], mat[s : s + size])], [])
 
-    return rows.select("id", "vec").mapInArrow(run, BLOCK)
+def reduced(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, best first, ties to smaller ids; an id counts once, with its greatest score."""
+    order = np.lexsort((-scores, ids, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    new = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]) if len(q) else np.zeros(0, dtype=bool)
+    q, ids, scores = q[new], ids[new], scores[new]
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], scores[keep]
 
 
-def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["data"], dtype=np.float64).reshape(row["n"], row["dim"])
+def as_lists(q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    """Entries sorted by query as a row for each query."""
+    keys, starts = np.unique(q, return_index=True)
+    ends = pa.array(np.append(starts, len(q)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids, scores))], ["query_id", "ids", "scores"])
+
 
+def meet(held: DataFrame, passing: DataFrame, work: Callable, k: int) -> DataFrame:
+    """Blocks with a column `key` each. work(list of held blocks, a passing block) gives entries (query, id, score) as arrays.
 
-def meet(held: DataFrame, passing: DataFrame, work: Callable) -> DataFrame:
-    """Blocks with a column `key` each. work(list of held blocks, iterator of passing blocks) yields (query ids, list of (ids, scores))."""
+    A task merges the entries of its keys, KEEP at a time, to the k best of each query.
+    """
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -71,40 +89,33 @@ def meet(held: DataFrame, passing: DataFrame, work: Callable) -> DataFrame:
                 yield {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = groups(batches)
-        row = next(rows, None)
-        while row:
-            key, own = row["key"], []
-            while row and row["key"] == key and not row["side"]:
+        key, own, prepared, kept, size = None, [], None, [], 0
+        for row in groups(batches):
+            if row["key"] != key:
+                key, own, prepared = row["key"], [], None
+            if not row["side"]:
                 own.append(unpack(row))
-                row = next(rows, None)
-
-            def rest(key: int = key) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                nonlocal row
-                while row and row["key"] == key:
-                    now, row = unpack(row), next(rows, None)
-                    yield now
-
-            stream = rest()
-            for ids, tops in work(own, stream) if own else ():
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([t[0] for t in tops], pa.list_(pa.int64())), pa.array([t[1] for t in tops], pa.list_(pa.float64()))], ["query_id", "ids", "scores"])
-            for _ in stream:
-                pass
+                continue
+            if not own:
+                continue
+            if prepared is None:
+                prepared = work(own)
+            kept.append(prepared(*unpack(row)))
+            size += len(kept[-1][0])
+            if size > KEEP:
+                kept = [reduced(*(np.concatenate(x) for x in zip(*kept, strict=True)), k)]
+                size = len(kept[0][0])
+                if size > KEEP // 2:  # many queries: what is known of them goes on
+                    yield as_lists(*kept[0])
+                    kept, size = [], 0
+        if kept:
+            yield as_lists(*reduced(*(np.concatenate(x) for x in zip(*kept, strict=True)), k))
 
     cols = ["key", "side", "n", "dim", "ids", "data"]
     both = held.withColumn("side", F.lit(0)).select(cols).union(passing.withColumn("side", F.lit(1)).select(cols))
     return both.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, FOUND)
 
 
-def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    if len(scores) > 4 * k:
-        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
-
-
 def merge_top(found: DataFrame, k: int, score: Column, once: bool = False) -> DataFrame:
     """The k best of each query over its lists, ranked. score: from the double `s`.
 
