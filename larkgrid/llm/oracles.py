@@ -1,15 +1,25 @@
 """SQL for operators that can be said in SQL but for their method: all strings and all pairs are compared."""
 
-OP4_SQL = r"""
+from larkgrid.llm.suffix_dedup import LENGTH, PASSAGE
+
+def _runs(length: int, tag: str) -> str:
+    """Tables of all strings of a length, those that occur twice, and the runs (a, e) that these cover."""
+    return f"""w{tag} AS (SELECT doc_id, p, md5(b[p + 1:p + {length}]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - {length - 1})) AS p FROM d WHERE octet_length(b) >= {length})),
+r{tag} AS (SELECT doc_id, p FROM w{tag} JOIN (SELECT h FROM w{tag} GROUP BY h HAVING count(*) > 1) USING (h)),
+g{tag} AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {length} THEN 0 ELSE 1 END AS fresh FROM r{tag})),
+s{tag} AS (SELECT doc_id, min(p) AS a, max(p) + {length} AS e FROM g{tag} GROUP BY doc_id, run)"""
+
+
+OP4_SQL = f"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-w AS (SELECT doc_id, p, md5(b[p + 1:p + 400]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 399)) AS p FROM d WHERE octet_length(b) >= 400)),
-r AS (SELECT doc_id, p FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)),
-g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM r)),
-s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS e FROM g GROUP BY doc_id, run),
+{_runs(LENGTH, "")},
+{_runs(PASSAGE, "_p")},
 k AS (SELECT s.doc_id, s.a, s.e, hex(b) AS x, coalesce(lag(s.e) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS f FROM s JOIN d USING (doc_id)),
-t AS (SELECT doc_id, sum(e - a) AS gone, count(*) AS n, string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(x), 2 * max(e) + 1) AS kept FROM k GROUP BY doc_id)
-SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, hex(b)))) AS kept_sha256
-FROM d LEFT JOIN t USING (doc_id)
+t AS (SELECT doc_id, sum(e - a) AS gone, count(*) AS n, string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(x), 2 * max(e) + 1) AS kept FROM k GROUP BY doc_id),
+u AS (SELECT doc_id, CAST(sum(e - a) AS BIGINT) AS passage_bytes, count(*) AS n_passages FROM s_p GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, coalesce(passage_bytes, 0) AS passage_bytes, coalesce(n_passages, 0) AS n_passages,
+  sha256(unhex(coalesce(kept, hex(b)))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN u USING (doc_id)
 """
 
 OP7_SQL = r"""
