@@ -2,6 +2,7 @@
 
 from larkgrid.llm.suffix_dedup import LENGTH, PASSAGE
 
+
 def _runs(length: int, tag: str) -> str:
     """Tables of all strings of a length, those that occur twice, and the runs (a, e) that these cover."""
     return f"""w{tag} AS (SELECT doc_id, p, md5(b[p + 1:p + {length}]) AS h FROM (SELECT doc_id, b, unnest(range(octet_length(b) - {length - 1})) AS p FROM d WHERE octet_length(b) >= {length})),
