@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from larkgrid.llm.common import BROADCAST_BYTES, cut, discard, light, numbered, spill_dir, table, text_chunks
+from larkgrid.llm.common import cut, discard, light, numbered, spill_dir, table, text_chunks
 
 #: Length of the strings that the query removes; that of repeated passages (some 45 words, so that those of over 50 are caught whole); bytes of a sample's hash.
 LENGTH, PASSAGE, SAMPLE = 400, 240, 48
@@ -332,13 +332,12 @@ def repeated_strings(docs: DataFrame, lengths: tuple[int, ...], k: int, id_col:
         written.append(pairs)
         salted = twice.withColumn("salt", F.pmod(F.xxhash64("mark", "place"), parts).cast("int"))
         begin, end = F.greatest(at - (length - k), F.lit(0)), at + F.least(F.lit(length), right)
-        pairs = F.broadcast(pairs) if 20 * pairs.count() <= BROADCAST_BYTES else pairs
         spans = salted.join(pairs, ["first", w, "salt"]).where(end - begin >= length).select("id", "mark", F.lit(level).alias("level"), begin.alias("begin"), end.alias("end"))
         sure = spans if sure is None else sure.union(spans)
 
     # one suffix of each other context, with its bytes
     classes = cut(widest.groupBy("first").agg(F.count("*").alias("m")).where("m > 1"), "classes")
-    wanted = widest.join(light(classes, 24 * classes.count()), "first").withColumn("place", F.col("one.place"))
+    wanted = widest.join(light(classes, 64 * classes.count()), "first").withColumn("place", F.col("one.place"))
     wanted = cut(wanted.select("one.id", "one.mark", (at * 2 + (F.col("m") > CLASS).cast("int")).alias("at")), "wanted")
     lists = cut(wanted.groupBy(F.col("id").alias("wid"), F.col("mark").alias("wmark")).agg(F.collect_list("at").alias("ats")), "wanted")
     written += [classes, wanted, lists]
