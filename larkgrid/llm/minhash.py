@@ -120,7 +120,7 @@ def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
 def small(rows: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, for a join."""
-    return light(rows, 40 * rows.count())
+    return light(rows, 64 * rows.count())
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:

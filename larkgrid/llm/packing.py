@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from larkgrid.llm.bpe import encoder, read_vocabulary
-from larkgrid.llm.common import cut, discard, light, table, text_chunks
+from larkgrid.llm.common import cut, light, table, text_chunks
 
 CAPACITY, CLOSING_ID = 1024, 0
 #: The linear program ends when it is this near to its bound.
@@ -321,7 +321,7 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     offsets = cut(offsets, "piece-offsets")
-    ranked = pieces.join(light(offsets, 32 * offsets.count()), ["task", "length"]).select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(light(offsets, 64 * offsets.count()), ["task", "length"]).select(id_col, "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
