@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from larkgrid.llm.common import table, text_chunks
+from larkgrid.llm.common import lean, remembered, table, text_chunks
 
 #: Words that a task remembers, and bytes of text that it splits at once.
 KEEP_WORDS, CHUNK_BYTES = 600_000, 1 << 20
@@ -272,6 +272,14 @@ def encoder(spec: str, decode: bool = False) -> Encoder:
     return _encoders[key]
 
 
+def drop_encoders() -> None:
+    _encoders.clear()
+    vocabulary_of.cache_clear()
+
+
+remembered["bpe"] = drop_encoders
+
+
 def read_vocabulary(path: str) -> str:
     """The tokenizer file, read on the driver; it is a fixed file of a few MB and goes out as a broadcast."""
     with open(path, encoding="utf-8") as f:
@@ -298,7 +306,7 @@ def encode_table(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 texts.append(t.decode() if full else hashlib.sha256(t).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary() if full else pa.string()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids" if full else "ids_sha256", "decoded" if full else "decoded_sha256"])
 
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, {own}")
+    out = docs.select(id_col, text_col).mapInArrow(lean(run, "bpe"), f"id {kind}, n_tokens bigint, {own}")
     return out if id_col in out.columns else out.withColumnRenamed("id", id_col)
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkgrid.llm.common import cut, discard, light, table, text_chunks
+from larkgrid.llm.common import cut, discard, lean, light, remembered, table, text_chunks
 
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
@@ -59,6 +59,7 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+remembered["minhash"] = _hashes.clear
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -115,7 +116,7 @@ def features(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "mark", "n", "fp", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, mark bigint, n bigint, fp binary, bands array<bigint>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(lean(run, "minhash"), f"id {kind}, mark bigint, n bigint, fp binary, bands array<bigint>")
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: s
                     sets.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(keep, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    return rows.select("text", "fp", "node").mapInArrow(run, "node bigint, set array<bigint>")
+    return rows.select("text", "fp", "node").mapInArrow(lean(run, "minhash"), "node bigint, set array<bigint>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,8 +221,8 @@ def lone_tokens(sets: DataFrame, parts: int) -> DataFrame:
         if now is not None:
             yield from done()
 
-    sent = sets.select("node", "set").mapInArrow(send, block).repartition("part").sortWithinPartitions("part")
-    return sent.mapInArrow(count, "node bigint, single bigint").groupBy("node").agg(F.sum("single").alias("single"))
+    sent = sets.select("node", "set").mapInArrow(lean(send, "minhash"), block).repartition("part").sortWithinPartitions("part")
+    return sent.mapInArrow(lean(count, "minhash"), "node bigint, single bigint").groupBy("node").agg(F.sum("single").alias("single"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -345,7 +346,7 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     own.append(row)
         yield from done()
 
-    return met.mapInArrow(run, "a bigint, b bigint")
+    return met.mapInArrow(lean(run, "minhash"), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from larkgrid.llm.bpe import encoder, read_vocabulary
-from larkgrid.llm.common import cut, light, table, text_chunks
+from larkgrid.llm.common import cut, lean, light, table, text_chunks
 
 CAPACITY, CLOSING_ID = 1024, 0
 #: The linear program ends when it is this near to its bound.
@@ -309,7 +309,7 @@ def cut_documents(docs: DataFrame, vocabulary_path: str, capacity: int, id_col:
             cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *cols, pa.array([task] * len(of), pa.int32())], ["id", "start", "length", "ids_crc32", "doc_tokens", "nth", "task"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {PIECE}, nth bigint, task int").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run, "bpe"), f"id {kind}, {PIECE}, nth bigint, task int").withColumnRenamed("id", id_col)
 
 
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,7 +329,7 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, id_col
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     schema = T.StructType([*ranked.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place, "bpe"), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

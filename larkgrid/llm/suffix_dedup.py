@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from larkgrid.llm.common import cut, discard, light, numbered, spill_dir, table, text_chunks
+from larkgrid.llm.common import cut, discard, lean, light, numbered, spill_dir, table, text_chunks
 
 #: Length of the strings that the query removes; that of repeated passages (some 45 words, so that those of over 50 are caught whole); bytes of a sample's hash.
 LENGTH, PASSAGE, SAMPLE = 400, 240, 48
@@ -312,7 +312,7 @@ def repeated_strings(docs: DataFrame, lengths: tuple[int, ...], k: int, id_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(at * WIDE + np.minimum(n - at, WIDE - 1)), pa.array(first), *map(pa.array, digests)], ["id", "mark", "place", "first", *wholes_of])
 
     # place: where a sample is, and how many bytes follow
-    sampled = cut(rows.mapInArrow(sample, f"{key}, place bigint, first bigint, " + ", ".join(f"{w} bigint" for w in wholes_of)), "samples")
+    sampled = cut(rows.mapInArrow(lean(sample), f"{key}, place bigint, first bigint, " + ", ".join(f"{w} bigint" for w in wholes_of)), "samples")
     at, right = F.shiftright("place", WIDE.bit_length() - 1), F.pmod("place", F.lit(WIDE))
     firsts = cut(sampled.groupBy("first").agg(F.count("*").alias("c")).where("c > 1"), "firsts")  # written, so that hot keys of the join can be split
     twice = cut(sampled.join(firsts, "first"), "twice")
@@ -368,7 +368,7 @@ def repeated_strings(docs: DataFrame, lengths: tuple[int, ...], k: int, id_col:
 
     half = (short - k + 1) // 2
     ways = F.array(F.xxhash64("class", F.substring("after", k + 1, half)), F.xxhash64("class", F.lit("left"), F.substring("before", 1, half)))
-    suffixes = chosen.mapInArrow(contexts, f"{key}, at bigint, class bigint, large boolean, before binary, after binary")
+    suffixes = chosen.mapInArrow(lean(contexts), f"{key}, at bigint, class bigint, large boolean, before binary, after binary")
     suffixes = suffixes.select("id", "mark", "at", "before", "after", F.explode(F.when(F.col("large"), ways).otherwise(F.array("class"))).alias("class")).repartition("class")
 
     def induction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,9 +392,9 @@ def repeated_strings(docs: DataFrame, lengths: tuple[int, ...], k: int, id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("level", pa.int32()), ("begin", pa.int64()), ("end", pa.int64())])))], ["id", "mark", "spans"])
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    induced = suffixes.mapInArrow(induction, f"{key}, level int, begin bigint, end bigint")
+    induced = suffixes.mapInArrow(lean(induction), f"{key}, level int, begin bigint, end bigint")
     spans = sure.union(induced).groupBy("id", "mark").agg(F.collect_set(F.struct("level", "begin", "end")).alias("spans"))
-    spans = cut(spans.mapInArrow(runs, f"{key}, spans array<struct<level:int,begin:bigint,end:bigint>>"), "spans")
+    spans = cut(spans.mapInArrow(lean(runs), f"{key}, spans array<struct<level:int,begin:bigint,end:bigint>>"), "spans")
     discard(twice, *written)
     return rows, spans
 
@@ -439,7 +439,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SAMPLE, id_co
             cols = [pa.array(texts, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = joined.mapInArrow(run, plain.schema)
+    out = joined.mapInArrow(lean(run), plain.schema)
     if "n_chars" in docs.columns:
         n = docs.columns.index("n_chars")
         out = out.withColumn(f"_c{n}", F.length(f"_c{at}").cast(docs.schema[n].dataType))
@@ -465,4 +465,4 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "passage_bytes", "n_passages", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(rows, spans).mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, passage_bytes bigint, n_passages bigint, kept_sha256 string").withColumnRenamed("id", "doc_id")
+    return with_spans(rows, spans).mapInArrow(lean(run), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, passage_bytes bigint, n_passages bigint, kept_sha256 string").withColumnRenamed("id", "doc_id")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkgrid.llm.common import cut, discard, split_mod4, table, text_chunks
+from larkgrid.llm.common import cut, discard, lean, split_mod4, table, text_chunks
 
 #: Labelled rows at most; stems that become features, and those that become voters, at most.
 TRAIN, FEATURES, VOTERS = 12_000, 3000, 150
@@ -207,7 +207,7 @@ def learn(rows: DataFrame, text_col: str, label_col: str) -> Classifier:
                     n.setdefault(w, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], ["word", "n0", "n1"])
 
-    words = rows.mapInArrow(count, "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_ROWS)
+    words = rows.mapInArrow(lean(count), "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_ROWS)
     # how far the odds are from even, in standard errors
     odds = F.log((F.col("n1") + 0.5) / (n1 - F.col("n1") + 0.5)) - F.log((F.col("n0") + 0.5) / (n0 - F.col("n0") + 0.5))
     error = F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
@@ -221,7 +221,7 @@ def learn(rows: DataFrame, text_col: str, label_col: str) -> Classifier:
             found = [sorted([*(features[f] for f in own if f in features), *(len(features) + j for j, p in enumerate(shown) if p)]) for own, shown in stems.features(texts)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["row", "y", "found"])
 
-    seen = rows.mapInArrow(look, "row bigint, y int, found array<int>").orderBy("row").toArrow()  # TRAIN rows of small numbers
+    seen = rows.mapInArrow(lean(look), "row bigint, y int, found array<int>").orderBy("row").toArrow()  # TRAIN rows of small numbers
     found = seen.column("found").combine_chunks()
     cols = found.flatten().to_numpy().astype(np.int64)
     at = np.repeat(np.arange(len(seen)), np.asarray(found.value_lengths()))
@@ -262,7 +262,7 @@ def score_texts(docs: DataFrame, model: Classifier, text_col: str = "text") -> D
         for b, texts in chunks(batches, at):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(texts), pa.float64())], [*keep, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
